@@ -1,9 +1,11 @@
-"""Joins of a row with the rows of the same key inside a time interval around it."""
+"""Joins of a row with the rows of the same key inside a time interval of its own."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from datetime import timedelta
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,65 +22,53 @@ def interval(span: timedelta) -> Column:
     return F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(int(span.total_seconds())))
 
 
-def interval_join(left: DataFrame, right: DataFrame, *, keys: Sequence[str], left_ts: str, right_ts: str,
-                  before: timedelta, after: timedelta, bucket_hours: int = 24) -> DataFrame:
-    """Pairs with equal keys and ``left_ts - before <= right_ts <= left_ts + after``.
+def interval_join(left: DataFrame, right: DataFrame, *, keys: Sequence[str], low: Column, high: Column,
+                  right_ts: str, bucket_hours: int = 24) -> DataFrame:
+    """Pairs with equal keys and ``low <= right_ts <= high``; ``low`` and ``high`` are left columns.
 
     The time axis is cut into buckets that become part of the join key: a left row visits only the
     buckets its interval touches, and a hot key is spread over its buckets. Column names of the two
     sides (other than the keys) must differ.
     """
     width = bucket_hours * 3600
-    low, high = F.col(left_ts) - interval(before), F.col(left_ts) + interval(after)
-    visits = left.withColumn("_bucket", F.explode(F.sequence(
-        F.floor(seconds_of(low) / width), F.floor(seconds_of(high) / width))))
+    visits = left.select(
+        "*", low.alias("_low"), high.alias("_high"),
+        F.explode(F.sequence(F.floor(seconds_of(low) / width), F.floor(seconds_of(high) / width))).alias("_bucket"))
     placed = right.withColumn("_bucket", F.floor(seconds_of(F.col(right_ts)) / width))
-    condition = (F.col(right_ts) >= low) & (F.col(right_ts) <= high)
     on = [visits[k] == placed[k] for k in (*keys, "_bucket")]
-    pairs = visits.join(placed, on=_all(on) & condition)
+    on += [placed[right_ts] >= visits["_low"], placed[right_ts] <= visits["_high"]]
+    pairs = visits.join(placed, reduce(and_, on))
     for k in (*keys, "_bucket"):
         pairs = pairs.drop(placed[k])
-    return pairs.drop("_bucket")
+    return pairs.drop("_bucket", "_low", "_high")
 
 
-def interval_extreme(left: DataFrame, right: DataFrame, *, row_id: Sequence[str], keys: Sequence[str], left_ts: str,
-                     right_ts: str, value: str, before: timedelta, after: timedelta, largest: bool,
-                     out: str) -> DataFrame:
+def interval_extreme(left: DataFrame, right: DataFrame, *, row_id: Sequence[str], keys: Sequence[str], low: Column,
+                     high: Column, right_ts: str, value: Column, largest: bool, out: str,
+                     right_group: Sequence[str] = ()) -> DataFrame:
     """Per left row the largest or smallest ``value`` of matching right rows; rows without a match are absent.
 
-    Hours lying wholly inside the interval are answered from one pre-aggregated row per key and
-    hour. Only the two hours the interval cuts through are compared row by row, and partial
-    aggregation folds those matches before they are shuffled, so a hot key never yields all its pairs.
+    ``right_group`` adds right columns to the grouping. Hours lying wholly inside the interval are
+    answered from one pre-aggregated row per key and hour. Only the two hours the interval cuts
+    through are compared row by row, and partial aggregation folds those matches before they are
+    shuffled, so a hot key never yields all its pairs.
     """
     best = F.max if largest else F.min
-    low, high = F.col(left_ts) - interval(before), F.col(left_ts) + interval(after)
-    probe = left.select(*row_id, *keys, low.alias("_low"), high.alias("_high")).withColumn(
+    group = [*row_id, *right_group]
+    probe = left.select(*dict.fromkeys([*row_id, *keys]), low.alias("_low"), high.alias("_high")).withColumn(
         "_first", F.floor(seconds_of(F.col("_low")) / 3600)).withColumn(
         "_last", F.floor(seconds_of(F.col("_high")) / 3600))
-    raw = right.select(*keys, F.col(right_ts).alias("_ts"), F.col(value).alias("_value")).withColumn(
+    raw = right.select(*keys, *right_group, F.col(right_ts).alias("_ts"), value.alias("_value")).withColumn(
         "_hour", F.floor(seconds_of(F.col("_ts")) / 3600))
-    hourly = raw.groupBy(*keys, "_hour").agg(best("_value").alias("_value"))
+    hourly = raw.groupBy(*keys, *right_group, "_hour").agg(best("_value").alias("_value"))
     inner = (
         probe.filter(F.col("_last") - F.col("_first") >= 2)
         .withColumn("_hour", F.explode(F.sequence(F.col("_first") + 1, F.col("_last") - 1)))
-        .join(hourly, [*keys, "_hour"]).select(*row_id, "_value")
-    )
+        .join(hourly, [*keys, "_hour"]).groupBy(*group).agg(best("_value").alias("_value")))
     edges = (
         probe.withColumn("_hour", F.explode(F.array_distinct(F.array("_first", "_last"))))
         .join(raw, [*keys, "_hour"])
         .filter((F.col("_ts") >= F.col("_low")) & (F.col("_ts") <= F.col("_high")))
-        .select(*row_id, "_value")
-    )
-    # fold each branch on its own first: the map-side combine then runs right after the join
-    return (
-        inner.groupBy(*row_id).agg(best("_value").alias("_value"))
-        .unionByName(edges.groupBy(*row_id).agg(best("_value").alias("_value")))
-        .groupBy(*row_id).agg(best("_value").alias(out))
-    )
-
-
-def _all(conditions: Sequence[Column]) -> Column:
-    out = conditions[0]
-    for c in conditions[1:]:
-        out = out & c
-    return out
+        .groupBy(*group).agg(best("_value").alias("_value")))
+    # each branch is folded on its own, so the map-side combine runs right after its join
+    return inner.unionByName(edges).groupBy(*group).agg(best("_value").alias(out))
