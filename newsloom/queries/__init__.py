@@ -1,6 +1,6 @@
 """Checked queries over the derived tables, one module per operator family."""
 
-from newsloom.queries import entities, market, quality  # noqa: F401
+from newsloom.queries import entities, market, quality, reports  # noqa: F401
 from newsloom.queries.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

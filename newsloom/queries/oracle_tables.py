@@ -132,7 +132,7 @@ FRAGMENTS: dict[str, str] = {
     "model_runs": """
   SELECT event_id AS run_id, event_type AS analysis_type,
          user_id * 4 + CAST(floor(value) AS BIGINT) % 4 AS target_id,
-         ['model-a', 'model-b', 'model-c', 'model-x'][user_id % 4 + 1] AS model,
+         ['model-a', 'model-b', 'model-c', 'model-x'][event_id // 2 % 4 + 1] AS model,
          CASE WHEN event_type = 'error' THEN 'failed' ELSE 'succeeded' END AS status,
          ['v1', 'v2'][event_id % 2 + 1] AS prompt_version,
          CAST(json_extract(props, '$.k') AS INT) AS prompt_tokens,
@@ -140,4 +140,18 @@ FRAGMENTS: dict[str, str] = {
          CAST(floor(value) AS INT) % 25 - 12 AS score_modifier,
          CAST(floor(value * 7) AS INT) % 101 AS confidence, ts AS created_at
   FROM events""",
+    "job_runs": """
+  SELECT run_id, CASE WHEN run_id % 4 <> 0 THEN 'pipeline' ELSE 'retention' END AS job_name,
+         min(started_at) AS started_at, max(started_at) AS completed_at,
+         CASE WHEN count(*) FILTER (stage_status = 'failed') > 0 THEN 'failed' ELSE 'success' END AS status
+  FROM job_stages GROUP BY run_id""",
+    "commands": """
+  SELECT o_orderkey AS command_id, o_orderpriority AS command_type,
+         CASE o_orderstatus WHEN 'O' THEN 'running' WHEN 'F' THEN 'failed' ELSE 'success' END AS status,
+         o_orderdate AS created_at, o_orderdate + INTERVAL 10 MINUTE AS started_at,
+         CASE WHEN o_orderstatus <> 'O' THEN o_orderdate + INTERVAL 1 HOUR END AS completed_at
+  FROM orders""",
+    "score_history": """
+  SELECT event_id AS history_id, user_id AS cluster_id, CAST(least(100, floor(value)) AS INT) AS final_score, ts AS created_at
+  FROM events""",
 }

@@ -231,10 +231,38 @@ class Desk:
         return self.table("events").select(
             F.col("event_id").alias("run_id"), F.col("event_type").alias("analysis_type"),
             (F.col("user_id") * 4 + F.floor(F.col("value")) % 4).alias("target_id"),
-            pick(("model-a", "model-b", "model-c", "model-x"), F.col("user_id") % 4).alias("model"),
+            pick(("model-a", "model-b", "model-c", "model-x"), F.floor(F.col("event_id") / 2) % 4).alias("model"),
             F.when(F.col("event_type") == "error", "failed").otherwise("succeeded").alias("status"),
             pick(("v1", "v2"), F.col("event_id") % 2).alias("prompt_version"),
             k.alias("prompt_tokens"), (k * 3 % 50).alias("completion_tokens"),
             (F.floor(F.col("value")).cast("int") % 25 - 12).alias("score_modifier"),
             (F.floor(F.col("value") * 7).cast("int") % 101).alias("confidence"),
             F.col("ts").alias("created_at"))
+
+    @cached_property
+    def job_runs(self) -> DataFrame:
+        """Runs with their stages as a JSON result."""
+        entry = F.struct("stage", F.col("stage_status").alias("status"), "duration_ms")
+        runs = self.job_stages.groupBy("run_id").agg(
+            F.min("started_at").alias("started_at"), F.max("started_at").alias("completed_at"),
+            F.count_if(F.col("stage_status") == "failed").alias("_failed"), F.array_sort(F.collect_list(entry)).alias("stages"))
+        return runs.select(
+            "run_id", F.when(F.col("run_id") % 4 != 0, "pipeline").otherwise("retention").alias("job_name"),
+            "started_at", "completed_at", F.when(F.col("_failed") > 0, "failed").otherwise("success").alias("status"),
+            F.to_json(F.struct("stages")).alias("result"))
+
+    @cached_property
+    def commands(self) -> DataFrame:
+        done = F.col("o_orderstatus") != "O"
+        return self.table("orders").select(
+            F.col("o_orderkey").alias("command_id"), F.col("o_orderpriority").alias("command_type"),
+            F.when(F.col("o_orderstatus") == "O", "running").when(F.col("o_orderstatus") == "F", "failed")
+            .otherwise("success").alias("status"),
+            F.col("o_orderdate").alias("created_at"), (F.col("o_orderdate") + seconds(F.lit(600))).alias("started_at"),
+            F.when(done, F.col("o_orderdate") + seconds(F.lit(3600))).alias("completed_at"))
+
+    @cached_property
+    def score_history(self) -> DataFrame:
+        return self.table("events").select(
+            F.col("event_id").alias("history_id"), F.col("user_id").alias("cluster_id"),
+            F.least(F.lit(100), F.floor("value").cast("int")).alias("final_score"), F.col("ts").alias("created_at"))
