@@ -79,6 +79,16 @@ def previous_window_mean(df: DataFrame, keys: Sequence[str], position: str, valu
     )
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition by ``keys`` over all cores, for work that is heavy per row and light in bytes.
+
+    Left to itself, adaptive execution would merge such small partitions into a few slow tasks.
+    """
+    spark = df.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(tasks, *keys)
+
+
 def split_hot_group(group_size: Column, block_rows: int) -> Column:
     """How many blocks a group of this size is cut into."""
     return F.greatest(F.lit(1), F.ceil(group_size / F.lit(block_rows))).cast("int")

@@ -16,10 +16,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.functions import vectors as V
-from newsloom.plans.keys import split_hot_group, top_per_key
+from newsloom.plans.keys import split_hot_group, spread, top_per_key
+from newsloom.plans.lineage import cut_lineage
 
 BLOCK_ROWS = 2000
-PIVOTS = 64
+PIVOT_ROWS, MAX_PIVOTS = 1000, 1024  # one pivot per this many rows, and never more than this many
 SLACK = 1e-9  # distances may be off by rounding; bounds are widened by this much
 
 
@@ -29,8 +30,9 @@ def _unit(rows: DataFrame, row_id: str, vector: str) -> DataFrame:
         F.col(row_id).alias("id"), V.unit(F.col(vector)).alias("v"))
 
 
-def _pivots(units: DataFrame, count: int) -> np.ndarray:
-    """``count`` vectors picked by id hash; a bounded sample, whatever the table size."""
+def _pivots(units: DataFrame) -> np.ndarray:
+    """A few vectors picked by id hash; at most ``MAX_PIVOTS``, whatever the table size."""
+    count = min(MAX_PIVOTS, -(-units.count() // PIVOT_ROWS))
     picked = units.orderBy(F.xxhash64("id"), "id").limit(count).collect()
     return np.array([row["v"] for row in picked], dtype=np.float64)
 
@@ -50,13 +52,14 @@ def _pair_blocks(left: DataFrame, right: DataFrame) -> DataFrame:
     right_sizes = right.groupBy("cell").agg(split_hot_group(F.count(F.lit(1)), BLOCK_ROWS).alias("nr"))
     sizes = left_sizes.join(right_sizes, "cell")
 
-    def spread(rows: DataFrame, own: str, other: str, side: bool) -> DataFrame:
+    def place(rows: DataFrame, own: str, other: str, side: bool) -> DataFrame:
         across = F.explode(F.sequence(F.lit(0), F.col(other) - 1))
         placed = rows.join(sizes, "cell").withColumn("_own", _block(F.col(own))).withColumn("_other", across)
         bl, br = ("_own", "_other") if side else ("_other", "_own")
         return placed.select("cell", F.col(bl).alias("bl"), F.col(br).alias("br"), F.lit(side).alias("is_left"), "id", "v")
 
-    return spread(left, "nl", "nr", True).unionByName(spread(right, "nr", "nl", False))
+    both = place(left, "nl", "nr", True).unionByName(place(right, "nr", "nl", False))
+    return spread(both, "cell", "bl", "br")
 
 
 def _split(block: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
@@ -67,7 +70,7 @@ def _split(block: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray] | N
     return left["id"].to_numpy(), right["id"].to_numpy(), np.clip(cosines, -1.0, 1.0)
 
 
-def similar_pairs(rows: DataFrame, row_id: str, vector: str, threshold: float, pivot_count: int = PIVOTS) -> DataFrame:
+def similar_pairs(rows: DataFrame, row_id: str, vector: str, threshold: float) -> DataFrame:
     """``(src, dst, cosine)`` with src < dst for all vectors at least ``threshold`` alike.
 
     Exact copies are folded first: copies hang on their smallest id by a star of edges with
@@ -76,11 +79,11 @@ def similar_pairs(rows: DataFrame, row_id: str, vector: str, threshold: float, p
     """
     units = _unit(rows, row_id, vector)
     id_type = units.schema["id"].dataType.simpleString()
-    reps = units.groupBy("v").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"))
+    reps = cut_lineage(units.groupBy("v").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")))
     stars = units.join(reps.filter("n > 1").select("v", "rep"), "v").filter(F.col("id") != F.col("rep")).select(
         F.col("rep").alias("src"), F.col("id").alias("dst"), F.lit(1.0).alias("cosine"))
     distinct = reps.select(F.col("rep").alias("id"), "v")
-    pivots = _pivots(distinct, pivot_count)
+    pivots = _pivots(distinct)
     if not len(pivots):
         return stars
     reach = 2.0 * float(np.sqrt(max(0.0, 2.0 - 2.0 * threshold))) + SLACK
@@ -111,16 +114,16 @@ def similar_pairs(rows: DataFrame, row_id: str, vector: str, threshold: float, p
 
 
 def nearest(queries: DataFrame, query_id: str, query_vector: str, corpus: DataFrame, corpus_id: str,
-            corpus_vector: str, k: int, pivot_count: int = PIVOTS) -> DataFrame:
+            corpus_vector: str, k: int) -> DataFrame:
     """Exact ``k`` nearest corpus rows per query: ``(query, neighbour, cosine, rank)``.
 
     First every query is ranked against the corpus cell of its nearest pivot. The k-th cosine found
     there bounds the distance, and only cells that can hold something closer are visited after that.
     """
-    wanted = _unit(queries, query_id, query_vector)
-    stored = _unit(corpus, corpus_id, corpus_vector)
+    wanted = cut_lineage(_unit(queries, query_id, query_vector))
+    stored = cut_lineage(_unit(corpus, corpus_id, corpus_vector))
     qt, ct = wanted.schema["id"].dataType.simpleString(), stored.schema["id"].dataType.simpleString()
-    pivots = _pivots(stored, pivot_count)
+    pivots = _pivots(stored)
     schema = f"query {qt}, neighbour {ct}, cosine double"
     if not len(pivots):
         return wanted.sparkSession.createDataFrame([], schema + ", rank int")
@@ -132,7 +135,7 @@ def nearest(queries: DataFrame, query_id: str, query_vector: str, corpus: DataFr
             yield pd.DataFrame({"cell": cell, "id": batch["id"], "v": batch["v"],
                                 "away": away[np.arange(len(batch)), cell]})
 
-    cells = stored.mapInPandas(home, f"cell int, id {ct}, v array<double>, away double")
+    cells = cut_lineage(stored.mapInPandas(home, f"cell int, id {ct}, v array<double>, away double"))
     # one row per pivot cell
     radii = {r["cell"]: r["radius"] for r in cells.groupBy("cell").agg(F.max("away").alias("radius")).collect()}
     used = np.array(sorted(radii))
@@ -159,7 +162,8 @@ def nearest(queries: DataFrame, query_id: str, query_vector: str, corpus: DataFr
         return blocks.groupBy("cell", "bl", "br").applyInPandas(best, schema)
 
     order = (F.col("cosine").desc(), F.col("neighbour"))
-    near = top_per_key(ranked(wanted.mapInPandas(first_cell, f"cell int, id {qt}, v array<double>")), ["query"], order, k)
+    near = cut_lineage(top_per_key(
+        ranked(wanted.mapInPandas(first_cell, f"cell int, id {qt}, v array<double>")), ["query"], order, k))
     bound = near.groupBy("query").agg(F.count(F.lit(1)).alias("n"), F.min("cosine").alias("worst")).select(
         F.col("query").alias("id"), F.when(F.col("n") < k, F.lit(-1.0)).otherwise(F.col("worst")).alias("worst"))
 
@@ -173,7 +177,7 @@ def nearest(queries: DataFrame, query_id: str, query_vector: str, corpus: DataFr
             yield pd.DataFrame({"cell": used[cell], "id": batch["id"].to_numpy()[row], "v": batch["v"].to_numpy()[row]})
 
     rest = wanted.join(bound, "id").mapInPandas(other_cells, f"cell int, id {qt}, v array<double>")
-    return top_per_key(near.unionByName(ranked(rest)), ["query"], order, k, rank="rank")
+    return cut_lineage(top_per_key(near.unionByName(ranked(rest)), ["query"], order, k, rank="rank"))
 
 
 def best_in_group(members: DataFrame, group: str, row_id: str, vector: str) -> DataFrame:
@@ -182,8 +186,8 @@ def best_in_group(members: DataFrame, group: str, row_id: str, vector: str) -> D
     Small groups share a block, large groups are cut into block pairs; members without another
     member to compare with are absent. A vector without length has cosine 0 to everything.
     """
-    rows = members.filter(F.col(vector).isNotNull()).select(
-        F.col(group).alias("grp"), F.col(row_id).alias("id"), V.unit(F.col(vector)).alias("v"))
+    rows = cut_lineage(members.filter(F.col(vector).isNotNull()).select(
+        F.col(group).alias("grp"), F.col(row_id).alias("id"), V.unit(F.col(vector)).alias("v")))
     types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     sizes = rows.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     total = sizes.filter(F.col("n") <= BLOCK_ROWS).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
@@ -209,7 +213,7 @@ def best_in_group(members: DataFrame, group: str, row_id: str, vector: str) -> D
         found = pd.DataFrame({**out, "best_cosine": best})
         return found[np.isfinite(best)]
 
-    blocks = together.unionByName(apart.select(*together.columns))
+    blocks = spread(together.unionByName(apart.select(*together.columns)), "cell", "bl", "br")
     return blocks.groupBy("cell", "bl", "br").applyInPandas(
         peak, f"grp {types['grp']}, id {types['id']}, best_cosine double").groupBy("grp", "id").agg(
         F.max("best_cosine").alias("best_cosine"))

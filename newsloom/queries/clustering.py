@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from newsloom.functions import text
 from newsloom.operators import clustering, embedding, entities, retention
 from newsloom.plans.components import connected_components
+from newsloom.plans.lineage import cut_lineage
 from newsloom.plans.similarity import similar_pairs
 from newsloom.queries.base import query
 from newsloom.queries.entities import mention_terms
@@ -34,12 +35,14 @@ def candidates(desk: Desk, newest_first: bool = True) -> DataFrame:
     """Item candidates with ticks and match sets."""
     sets = entities.item_candidates(desk.news, desk.news_entities, desk.watchlist)
     tiers = entities.tier_for(mention_terms(desk.news_entities), desk.watchlist, "news_id").withColumnRenamed("tier", "watch_tier")
-    rows = desk.news.select(
-        "news_id", "title", "source_score", "region", F.array("asset_class").alias("asset_classes"),
-        desk.effective_time.alias("effective_time")).join(sets, "news_id").join(tiers, "news_id", "left")
     at, key = F.col("effective_time"), F.col("news_id")
     order = (at.desc(), key.desc()) if newest_first else (at, key)
-    return clustering.with_match_sets(clustering.with_ticks(rows, order))
+    # only ids and times are numbered; the wide columns join the numbers afterwards
+    ticks = clustering.with_ticks(desk.news.select("news_id", desk.effective_time.alias("effective_time")), order)
+    rows = desk.news.select(
+        "news_id", "title", "source_score", "region", F.array("asset_class").alias("asset_classes")).join(
+        ticks, "news_id").join(sets, "news_id").join(tiers, "news_id", "left")
+    return cut_lineage(clustering.with_match_sets(rows))
 
 
 BLOCK_SQL = f"""{TOKENS_SQL},
