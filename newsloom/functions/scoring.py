@@ -31,10 +31,9 @@ def ranked(c: Column, ranks: dict[str, int], default: int) -> Column:
 
 def confidence(source_count: Column, hq_count: Column, status: Column) -> Column:
     n, hq = F.greatest(F.lit(0), source_count), F.greatest(F.lit(0), hq_count)
-    base = F.least(F.lit(80), F.lit(40) + n * 10)
-    lifted = F.when(hq >= 1, F.least(F.lit(100), base + F.least(F.lit(15), hq * 5))).otherwise(base)
-    lifted = F.when(hq >= 2, F.greatest(lifted, F.lit(85))).otherwise(lifted)
-    return F.when(status.isin("confirmed", "official"), F.greatest(lifted, F.lit(95))).otherwise(lifted).cast("int")
+    lifted = F.least(F.lit(100), F.least(F.lit(80), F.lit(40) + n * 10) + F.least(F.lit(15), hq * 5))
+    floors = (F.when(hq >= 2, 85).otherwise(0), F.when(status.isin("confirmed", "official"), 95).otherwise(0))
+    return F.greatest(lifted, *floors).cast("int")
 
 
 def score_event(*, top_source_score: Column, source_count: Column, tier: Column, hq_source_count: Column,
@@ -48,13 +47,14 @@ def score_event(*, top_source_score: Column, source_count: Column, tier: Column,
     relevance = ranked(F.upper(F.trim(F.coalesce(tier, F.lit("")))), TIER_RELEVANCE, TIER_RELEVANCE["D"])
     has_move = move_score.isNotNull()
     move = clamp(F.coalesce(move_score, F.lit(0))).cast("int")
+    # every step is a product, so that no branch repeats the whole expression before it
     plain = source * F.lit(0.25) + relevance * F.lit(0.35) + conf * F.lit(0.25)
-    base = F.when(has_move, plain + move * F.lit(0.15)).otherwise(plain / F.lit(0.85))
-    after_duplicate = F.when(duplicate, base * F.lit(0.70)).otherwise(base)
-    after_stale = F.when(stale, after_duplicate * F.lit(0.70)).otherwise(after_duplicate)
+    base = (plain + F.when(has_move, move * F.lit(0.15)).otherwise(0.0)) / F.when(has_move, 1.0).otherwise(0.85)
+    after_duplicate = base * F.when(duplicate, 0.70).otherwise(1.0)
+    after_stale = after_duplicate * F.when(stale, 0.70).otherwise(1.0)
     noise = (F.when(source <= 40, F.lit(0.85)).when(source >= 55, F.lit(1.0))
              .otherwise(F.lit(0.85) + ((source - 40) / F.lit(15)) * F.lit(0.15)))
-    final = F.when(noise < 1.0, after_stale * noise).otherwise(after_stale)
+    final = after_stale * noise
     urgency = F.when(has_move, relevance * F.lit(0.45) + move * F.lit(0.35) + conf * F.lit(0.20)).otherwise(
         relevance * F.lit(0.65) + conf * F.lit(0.35))
     return F.struct(

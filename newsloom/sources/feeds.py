@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from newsloom.functions import text
 
-RSS_ITEM = "struct<title:string,link:string,description:string,summary:string,pubDate:string,published:string,updated:string,guid:string,id:string>"
-RSS_SCHEMA = f"channel struct<item:array<{RSS_ITEM}>>"
+ITEM_FIELDS = ("title", "link", "description", "summary", "pubDate", "published", "updated", "guid", "id")
+RSS_SCHEMA = "channel struct<item:array<struct<" + ",".join(f"{f}:string" for f in ITEM_FIELDS) + ">>>"
 ATOM_SCHEMA = ("entry array<struct<title:string,link:struct<_href:string,_VALUE:string>,summary:string,published:string,"
                "updated:string,id:string>>")
 EMPTY_DC = r"(?i)<dc:description\s*/>|<dc:description\s*>\s*</dc:description\s*>"
@@ -44,7 +44,8 @@ def parse_feeds(feeds: DataFrame, body: str = "body") -> DataFrame:
 
 def read_feed_files(spark: SparkSession, path: str) -> DataFrame:
     """Items of RSS files; Spark splits large files at the item tag."""
-    raw = spark.read.format("xml").option("rowTag", "item").schema(RSS_ITEM.removeprefix("struct<").removesuffix(">")).load(path)
+    raw = spark.read.format("xml").option("rowTag", "item").schema(
+        ", ".join(f"{f} string" for f in ITEM_FIELDS)).load(path)
     return _feed_rows(raw.select(
         "title", "link", F.coalesce("description", "summary").alias("summary"),
         F.coalesce("pubDate", "published").alias("published"), "updated", F.coalesce("guid", "id").alias("guid")), [])
