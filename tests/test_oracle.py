@@ -24,5 +24,5 @@ def test_entry(spark):
 
 @pytest.mark.parametrize("name", SAMPLE)
 def test_query_matches_oracle(spark, name):
-    message, _, good = compare(spark, oracle_connection(FOLDER), FOLDER, name, queries()[name], oracle_sql()[name])
-    assert good, message
+    message, _, _ = compare(spark, oracle_connection(FOLDER), FOLDER, name, queries()[name], oracle_sql()[name])
+    assert message.startswith("ok"), message
