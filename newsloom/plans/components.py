@@ -1,4 +1,4 @@
-"""Connected components by alternating large-star and small-star joins."""
+"""Connected components by repeated contraction, and the join that stays even under a hot key."""
 
 from __future__ import annotations
 
@@ -8,43 +8,50 @@ from pyspark.sql import functions as F
 from newsloom.plans.lineage import cut_lineage
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    root = both.groupBy("src").agg(F.min("dst").alias("_m")).select(
-        "src", F.least("src", "_m").alias("root"))
-    return (
-        both.filter(F.col("dst") > F.col("src")).join(root, "src")
-        .select(F.col("dst").alias("src"), F.col("root").alias("dst"))
-        .filter(F.col("src") != F.col("dst")).distinct()
-    )
+def join_hot(many: DataFrame, few: DataFrame, key: str) -> DataFrame:
+    """Left join of ``many`` (a key may hold most of its rows) with ``few`` (one row per key).
 
-
-def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst"))
-    root = down.groupBy("src").agg(F.min("dst").alias("root"))
-    joined = down.join(root, "src")
-    return (
-        joined.select(F.col("dst").alias("src"), F.col("root").alias("dst"))
-        .unionByName(root.select("src", F.col("root").alias("dst")))
-        .filter(F.col("src") != F.col("dst")).distinct()
-    )
-
-
-def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
+    Keys with more than 1/parts of the rows are split off: by count there are fewer than ``parts`` of them, so
+    their side is broadcast with a proven bound and their rows stay where they are. All others are shuffled.
+    """
+    spark = many.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    counts = many.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
+    heavy = counts.filter(F.col("_rows") > many.count() / parts).select(key)
+    heavy = cut_lineage(heavy)
+    if heavy.isEmpty():
+        return many.join(few, key, "left")
+    heavy_few = F.broadcast(few.join(F.broadcast(heavy), key, "left_semi"))
+    hot = many.join(F.broadcast(heavy), key, "left_semi").join(heavy_few, key, "left")
+    cold = many.join(F.broadcast(heavy), key, "left_anti").join(few, key, "left")
+    return hot.unionByName(cold)
+
+
+def connected_components(edges: DataFrame) -> DataFrame:
     """``(src, dst)`` edges to ``(node, component)``; the component is the smallest node id.
 
-    Every round writes its edges to the checkpoint folder. Nodes without an edge are absent.
+    Each round every node moves to the smallest node next to it and the edges are rewritten to the nodes moved to,
+    until no edge is left. The smallest node of a component never moves, so it is the one that remains. Rounds are
+    written to the checkpoint folder; none is skipped or capped. Nodes without an edge are absent.
     """
-    current = cut_lineage(
-        edges.select("src", "dst").filter(F.col("src") != F.col("dst")).distinct())
-    print_of = None
-    for _ in range(max_rounds):
-        current = cut_lineage(_small_star(_large_star(current)))
-        # one summary row per round tells whether the edge set still changes
-        summary = current.agg(
-            F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)")).alias("h")).first()
-        if print_of == (summary["n"], summary["h"]):
-            return current.select(F.col("src").alias("node"), F.col("dst").alias("component")).unionByName(
-                current.select(F.col("dst").alias("node"), F.col("dst").alias("component")).distinct())
-        print_of = (summary["n"], summary["h"])
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    links = cut_lineage(
+        edges.select("src", "dst").filter(F.col("src") != F.col("dst"))
+        .select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct())
+    labels = links.select(F.col("src").alias("node"), F.col("dst").alias("component")).limit(0)
+    first = True
+    while not links.isEmpty():
+        both = links.unionByName(links.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        moves = cut_lineage(both.groupBy("src").agg(F.min("dst").alias("_low")).select(
+            "src", F.least("src", "_low").alias("to")))
+        if first:
+            labels, first = moves.select(F.col("src").alias("node"), F.col("to").alias("component")), False
+        else:
+            step = moves.select(F.col("src").alias("component"), F.col("to").alias("_to"))
+            labels = join_hot(labels, step, "component").select("node", F.coalesce("_to", "component").alias("component"))
+            labels = cut_lineage(labels)
+        half = join_hot(links, moves, "src").select(F.col("to").alias("_a"), "dst")
+        ends = moves.select(F.col("src").alias("dst"), F.col("to").alias("_b"))
+        links = cut_lineage(
+            join_hot(half, ends, "dst").filter(F.col("_a") != F.col("_b"))
+            .select(F.greatest("_a", "_b").alias("src"), F.least("_a", "_b").alias("dst")).distinct())
+    return labels
