@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import chat, embeddings, exact_dedup, mixing, pieces, sharding, simhash, toxicity
+from newsloom.llm import chat, embeddings, exact_dedup, mixing, pieces, repeats, sharding, simhash, toxicity
 from newsloom.llm import secrets as secret_scan
 from newsloom.llm.tables import table
 
@@ -64,6 +64,11 @@ def shards(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.interleave(table(spark, folder, "documents"))
 
 
+@query("op7_repeated_passages")
+def without_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, folder, "documents"))
+
+
 @query("op8_exact_dedup", r"""
 WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS plain FROM documents),
 g AS (SELECT plain, min(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY plain)
