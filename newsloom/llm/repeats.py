@@ -3,24 +3,27 @@
 A byte is removed if a string of ``SPAN`` = 100 bytes that covers it also starts earlier: in a document with a smaller
 id, or earlier in its own. Strings are judged on the input.
 
-1. Dealing. Every 100-byte window picks its smallest 16-byte gram by hash (the leftmost of equal ones); windows in a
-   row that pick the same gram form a segment of at most 184 bytes. Equal windows pick equal grams, so strings can only
-   repeat among segments of one gram, and segments are dealt by gram. Before that, equal segments of a batch are folded
-   to the earliest: all windows of the others start earlier there. So a passage that stands in a third of all
-   documents meets its task as one row per batch. After the shuffle the same holds for equal segments of one gram.
-2. Suffix order. Different segments of one gram are where partly equal passages begin and end. They are inserted into
-   one collection right to left, one symbol per segment and round: a round finds the places of the new suffixes from
-   those of the last round by counting symbols of the collection's Burrows-Wheeler transform, merges their symbols
-   into it, and updates the common prefixes of the new suffixes and of those that follow them. Transform, prefixes and
-   suffix ids are columns in anonymous scratch files, read and rewritten front to back in blocks each round; a task
-   holds one block, and the files vanish with it. Suffixes that share 100 bytes with their neighbours are the repeats;
-   the earliest of each run stays.
+1. Dealing. Every 100-byte window picks its smallest 32-byte gram by hash (the leftmost of equal ones); windows in a
+   row that pick the same gram form a segment of at most 168 bytes. Equal windows pick equal grams at equal places, so
+   strings can only repeat among segments of one gram, and segments are dealt by gram. Before that, equal segments of
+   a batch are folded to the earliest: all windows of the others start earlier there. So a passage that stands in a
+   third of all documents meets its task as one row per batch. After the shuffle the same holds for equal segments.
+2. Suffix order. Different segments of one gram are where partly equal passages begin and end. They form a collection
+   that is built right to left, one symbol per segment and round. Segments are aligned on their gram and a symbol is
+   tagged with gram and column, as strings can only repeat at the same distance from their gram. So the suffixes that
+   a round inserts form a block of their own in the collection's order; the blocks of earlier rounds stay as they are
+   and the next round only needs the last one: its Burrows-Wheeler symbols (the next column, in the block's order) and
+   the common prefixes of its neighbours. A round sorts the block stably by symbol and takes each new common prefix as
+   one more than the least old one between two neighbours. Symbols lie column by column in an anonymous scratch file
+   that is written once and read front to back; a task holds a few numbers per segment. Neighbours that share
+   100 bytes are the repeats; the earliest of each run stays. Tags make this the positional form of the construction:
+   without them every round would rewrite the whole transform, which took over six times the time allowed.
    A gram with more than ``HOT`` different segments, say where a passage of very many documents meets as many
-   different surroundings, is dealt anew window by window, by gram and the first and last 16 bytes of the window:
+   different surroundings, is dealt anew window by window, by gram and the first and last 32 bytes of the window:
    equal windows still meet, and windows that reach into different surroundings part. Nothing is left out.
 3. Cutting. Spans are merged per document and cut from its bytes.
 
-The scratch files are no shared data: no other task reads them, a lost task makes them again.
+The scratch file is no shared data: no other task reads it, and a lost task makes it again.
 
 Null text: as empty. Texts under 100 bytes lose nothing. A row without id is compared with nothing and kept whole. Rows
 that repeat an id are one document read several times: equal places of them do not count as earlier, and what is
@@ -45,18 +48,18 @@ from newsloom.plans.components import join_hot
 from newsloom.plans.lineage import cut_lineage
 
 SPAN = 100
-GRAM = 16
+GRAM = 32
 REACH = SPAN - GRAM + 1
 CHUNK = 1 << 20
-COLLECTION = 4096
+COLLECTION = 16_384
 HOT = 20_000
-BLOCK = 1 << 20
+BLOCK = 4096
 _LETTERS = np.random.default_rng(7).integers(0, 1 << 64, 256, dtype=np.uint64)
 _STEPS = np.random.default_rng(8).integers(0, 1 << 63, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the 16 bytes from every position, by doubling."""
+    """A 64-bit hash of the ``GRAM`` bytes from every position, by doubling."""
     h, width, step = _LETTERS[data], 1, 0
     while width < GRAM:
         h = h[:-width] * _STEPS[step] + h[width:]
@@ -66,8 +69,8 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
     return h ^ h >> np.uint64(32)
 
 
-def segments(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(gram hash, first window, number of windows) of the segments of a text, a chunk of windows at a time."""
+def segments(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(gram hash, first window, windows, bytes before the gram) of a text's segments, a chunk of windows at a time."""
     found = []
     for at in range(0, max(0, len(data) - SPAN + 1), CHUNK):
         part = data[at:at + CHUNK + SPAN - 1]
@@ -80,9 +83,9 @@ def segments(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         low = np.minimum(low[:len(low) - (REACH - width)], low[REACH - width:])
         picked = (low & np.uint64((1 << 21) - 1)).astype(np.int64)
         first = np.concatenate([[0], np.flatnonzero(picked[1:] != picked[:-1]) + 1])
-        found.append((h[picked[first]].view(np.int64), first + at, np.diff(np.append(first, len(picked)))))
+        found.append((h[picked[first]].view(np.int64), first + at, np.diff(np.append(first, len(picked))), picked[first] - first))
     if not found:
-        return (np.zeros(0, np.int64),) * 3
+        return (np.zeros(0, np.int64),) * 4
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
@@ -101,39 +104,51 @@ def _merged(spans: np.ndarray) -> np.ndarray:
     return np.column_stack([spans[fresh, 0], spans[fresh, 1], (reach - lift)[last]])
 
 
-_DEALT = ["gram", "content", "doc", "first", "windows"]
+#: ``shape`` holds the number of windows and, above 8 bits, the bytes before the gram; -end if the row is a span.
+_DEALT = ["gram", "content", "doc", "first", "shape"]
 
 
 def _deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, text) to segments, equal ones of a batch folded; their spans go as rows with -end for windows."""
+    """(doc, text) to segments, equal ones of a batch folded; what that settles goes as spans."""
     for batch in with_rows(batches):
         rows = []
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             raw = (text.as_py() or "").encode()
-            gram, first, windows = segments(np.frombuffer(raw, np.uint8))
+            gram, first, windows, lead = segments(np.frombuffer(raw, np.uint8))
             if len(gram):
                 ends = (first + windows + SPAN - 1).tolist()
                 content = np.array([xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(first.tolist(), ends, strict=True)], dtype=np.uint64)
-                rows.append(np.column_stack([gram, content.view(np.int64), np.full(len(gram), doc), first, windows]))
+                rows.append(np.column_stack([gram, content.view(np.int64), np.full(len(gram), doc), first, windows + (lead << 8)]))
         if not rows:
             continue
         rows = np.concatenate(rows)
         rows = rows[np.lexsort((rows[:, 3], rows[:, 2], rows[:, 1], rows[:, 0]))]
-        earliest = np.zeros(len(rows), dtype=bool)
-        earliest[run_starts(rows, 2)] = True
-        again = rows[~earliest]
-        spans = _merged(np.column_stack([again[:, 2], again[:, 3], again[:, 3] + again[:, 4] + SPAN - 1]))
+        earliest, again = _folded(rows)
+        spans = _merged(np.column_stack([again[:, 2], again[:, 3], _ends(again)]))
         done = np.column_stack([spans[:, 0] * 0x9E3779B1, spans[:, 1], spans[:, 0], spans[:, 1], -spans[:, 2]])  # any even deal
         out = np.concatenate([rows[earliest], done])
         yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in out.T], names=_DEALT)
 
 
-_PIECE = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
-_FOUND = ["doc", "gram", "first", "windows"]
+_PIECE = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+_FOUND = ["doc", "gram", "first", "shape"]
+
+
+def _ends(rows: np.ndarray) -> np.ndarray:
+    return rows[:, 3] + (rows[:, 4] & 255) + SPAN - 1
+
+
+def _folded(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of sorted rows are the earliest of their content, and the later ones at another place."""
+    starts = run_starts(rows, 2)
+    earliest = np.zeros(len(rows), dtype=bool)
+    earliest[starts] = True
+    of = np.repeat(starts, np.diff(np.append(starts, len(rows))))
+    return earliest, rows[np.any(rows[:, 2:4] != rows[of][:, 2:4], axis=1)]
 
 
 def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Dealt rows in order to spans (windows is -end) and to segments whose gram has different contents."""
+    """Dealt rows in order to spans and to segments whose gram has different contents."""
 
     def rows_of(kept: np.ndarray, ends: np.ndarray | None = None) -> pa.RecordBatch:
         columns = kept[:, 2], kept[:, 0], kept[:, 3], kept[:, 4] if ends is None else -ends
@@ -149,14 +164,9 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not len(rows):
             continue
         rows = rows if last is None else np.concatenate([last, rows])
-        earliest = np.zeros(len(rows), dtype=bool)
-        earliest[run_starts(rows, 2)] = True
-        again = rows[~earliest]
-        # the same place of a repeated row is no earlier one
-        mine = np.repeat(np.flatnonzero(earliest), np.diff(np.append(np.flatnonzero(earliest), len(rows))))[~earliest]
-        again = again[np.any(again[:, 2:4] != rows[mine][:, 2:4], axis=1)]
+        earliest, again = _folded(rows)
         if len(again):
-            yield rows_of(again, again[:, 3] + again[:, 4] + SPAN - 1)
+            yield rows_of(again, _ends(again))
         firsts = rows[earliest]
         same = firsts[1:, 0] == firsts[:-1, 0]
         before = np.concatenate([[shared], same])
@@ -178,138 +188,108 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in out.T], names=_FOUND)
 
 
-class Columns:
-    """Transform (symbol), common prefix, and suffix (segment, position) of a collection, in scratch files."""
-
-    KINDS = (("symbol", np.uint16), ("prefix", np.uint8), ("segment", np.int32), ("position", np.int16))
-
-    def __init__(self, rows: int):
-        self.rows = rows
-        for name, kind in self.KINDS:
-            file = tempfile.TemporaryFile()  # without a name: it goes when it is closed
-            file.truncate(max(1, rows) * np.dtype(kind).itemsize)
-            setattr(self, name, np.memmap(file, kind, "r+", shape=(max(1, rows),)))
-
-    def places(self, at: np.ndarray) -> np.ndarray:
-        """For sorted rows ``at``: how many symbols are smaller than theirs, or equal and before them."""
-        counts = np.zeros(257, dtype=np.int64)
-        within = np.empty(len(at), dtype=np.int64)
-        letter = np.empty(len(at), dtype=np.int64)
-        for a in range(0, self.rows, BLOCK):
-            block = np.asarray(self.symbol[a:a + BLOCK])
-            lo, hi = np.searchsorted(at, [a, a + len(block)])
-            if hi > lo:
-                order = np.argsort(block, kind="stable")
-                own = np.bincount(block, minlength=257)
-                rank = np.empty(len(block), dtype=np.int64)
-                rank[order] = np.arange(len(block))
-                mine = block[at[lo:hi] - a].astype(np.int64)
-                within[lo:hi] = rank[at[lo:hi] - a] - (np.cumsum(own) - own)[mine] + counts[mine]
-                letter[lo:hi] = mine
-                counts += own
-            else:
-                counts += np.bincount(block, minlength=257)
-        return within + (np.cumsum(counts) - counts)[letter]
-
-    def merged(self, at: np.ndarray, new: dict[str, np.ndarray]) -> Columns:
-        """The rows of this and new ones, which get the sorted places ``at``, written front to back."""
-        out = Columns(self.rows + len(at))
-        read = 0
-        for a in range(0, out.rows, BLOCK):
-            b = min(a + BLOCK, out.rows)
-            lo, hi = np.searchsorted(at, [a, b])
-            old = np.ones(b - a, dtype=bool)
-            old[at[lo:hi] - a] = False
-            size = b - a - (hi - lo)
-            for name, kind in self.KINDS:
-                block = np.empty(b - a, dtype=kind)
-                block[old] = getattr(self, name)[read:read + size]
-                block[~old] = new[name][lo:hi]
-                getattr(out, name)[a:b] = block
-            read += size
-        return out
-
-
-def suffix_columns(texts: list[bytes]) -> Columns:
-    """The collection of all suffixes of ``texts``, built column by column from their ends; prefixes up to ``SPAN``."""
-    sizes = np.array([len(t) for t in texts], dtype=np.int64)
-    width = int(sizes.max()) + SPAN
-    letters = np.zeros(len(texts) * width + SPAN, dtype=np.uint16)  # 0 ends a text, a byte is one more than itself
-    flat = np.frombuffer(b"".join(texts), dtype=np.uint8)
-    letters[np.repeat(np.arange(len(texts)) * width, sizes) + np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = flat.astype(np.uint16) + 1
-    spans = np.lib.stride_tricks.sliding_window_view(letters, SPAN)
-
-    def common(a_text, a_at, b_text, b_at) -> np.ndarray:
-        same = spans[a_text.astype(np.int64) * width + a_at] == spans[b_text.astype(np.int64) * width + b_at]
-        length = np.where(same.all(axis=1), SPAN, same.argmin(axis=1))
-        return np.minimum(length, np.minimum(sizes[a_text] - a_at, sizes[b_text] - b_at))  # two ends are never equal
-
-    everyone = np.arange(len(texts))
-    columns = Columns(len(texts))
-    columns.symbol[:], columns.segment[:], columns.position[:], columns.prefix[:] = letters[everyone * width + sizes - 1], everyone, sizes, 0
-    place = everyone.copy()  # row of the suffix of each text inserted last
-    for length in range(1, int(sizes.max()) + 1):
-        active = np.flatnonzero(sizes >= length)
-        active = active[np.argsort(place[active])]
-        ended = int((np.asarray(sizes) < length).sum())  # their symbol is 0 and stands for no longer suffix
-        at = columns.places(place[active]) - ended + len(texts)
-        order = np.argsort(at)
-        active, at = active[order], at[order]
-        start = sizes[active] - length
-        symbol = np.where(start > 0, letters[active * width + start - 1], 0)
-        new = {"symbol": symbol.astype(np.uint16), "segment": active.astype(np.int32), "position": start.astype(np.int16), "prefix": np.zeros(len(at), np.uint8)}
-        columns = columns.merged(at, new)
-        place[active] = at
-        columns.prefix[at] = common(active, start, columns.segment[at - 1], columns.position[at - 1])
-        after = at[at + 1 < columns.rows] + 1
-        columns.prefix[after] = common(columns.segment[after], columns.position[after], columns.segment[after - 1], columns.position[after - 1])
-    return columns
-
-
-def later_windows(columns: Columns) -> tuple[np.ndarray, np.ndarray]:
-    """(segment, position) of windows that equal one of an earlier segment, or an earlier one of their own."""
+def _symbol_columns(pieces: list[bytes], first_column: np.ndarray, columns: int) -> list[np.ndarray]:
+    """The symbols of aligned pieces, column by column, in an unnamed scratch file; a view of it per ``BLOCK`` pieces."""
+    file = tempfile.TemporaryFile()
+    views = []
+    for at in range(0, len(pieces), BLOCK):
+        part = pieces[at:at + BLOCK]
+        sizes = np.array([len(p) for p in part])
+        flat = np.frombuffer(b"".join(part), dtype=np.uint8)
+        row = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(first_column[at:at + BLOCK], sizes)
+        block = np.zeros((columns, len(part)), dtype=np.uint8)
+        block[row, np.repeat(np.arange(len(part)), sizes)] = flat
+        block.tofile(file)
+        views.append(block.shape)
+    file.flush()
+    offset, maps = 0, []
+    for shape in views:
+        maps.append(np.memmap(file, np.uint8, "r", offset=offset, shape=shape))
+        offset += shape[0] * shape[1]
+    return maps
+
+
+def _least_between(prefix: np.ndarray, after: np.ndarray, upto: np.ndarray) -> np.ndarray:
+    """Least of ``prefix`` over (after, upto] for each pair; pairs from the right make every gap one step long."""
+    order = np.argsort(-after, kind="stable")
+    bounds = np.column_stack([after[order] + 1, upto[order] + 1]).ravel()
+    out = np.empty(len(after), dtype=prefix.dtype)
+    out[order] = np.minimum.reduceat(np.append(prefix, 0), bounds)[::2] if len(after) else 0
+    return out
+
+
+def suffix_rounds(pieces: list[bytes], lead: np.ndarray, gram: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Rounds of the construction, right to left: (column, pieces in suffix order, common prefix with the one before).
+
+    Pieces are aligned on the end of their ``lead``; those of one ``gram`` (small numbers) are ordered by the bytes from
+    the column on, prefixes are told up to ``SPAN``. The first piece of a gram has prefix 0.
+    """
+    sizes = np.array([len(p) for p in pieces], dtype=np.int64)
+    begin = int(lead.max()) - lead
+    end = begin + sizes
+    columns = int(end.max())
+    symbols = _symbol_columns(pieces, begin, columns)
+    kind = np.uint16 if int(gram.max()) < 1 << 16 else np.int64
+    entering = np.argsort(-end, kind="stable")
+    entered, order, prefix = 0, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for column in range(columns - 1, -1, -1):
+        upto = int(np.searchsorted(-end[entering], -column))
+        if upto > entered:  # their suffix is empty so far: before all others of their gram
+            order = np.concatenate([np.sort(entering[entered:upto]), order])
+            prefix = np.concatenate([np.zeros(upto - entered, np.int64), prefix])
+            by_gram = np.argsort(gram[order].astype(kind), kind="stable")
+            order, prefix, entered = order[by_gram], prefix[by_gram], upto
+        at = np.flatnonzero(begin[order] <= column)
+        inside = order[at]
+        letter = np.concatenate([block[column] for block in symbols])[inside]
+        by_letter = np.argsort(letter, kind="stable")
+        sort = by_letter[np.argsort(gram[inside][by_letter].astype(kind), kind="stable")]
+        inside, at, letter = inside[sort], at[sort], letter[sort]
+        same = np.flatnonzero((letter[1:] == letter[:-1]) & (gram[inside[1:]] == gram[inside[:-1]])) + 1
+        fresh = np.zeros(len(inside), dtype=np.int64)
+        fresh[same] = np.minimum(SPAN, 1 + _least_between(prefix, at[same - 1], at[same]))
+        order, prefix = inside, fresh
+        yield column, order, prefix
+
+
+def later_windows(pieces: list[bytes], lead: np.ndarray, gram: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(piece, offset) of 100-byte windows that equal one of an earlier piece of the gram at another ``place``."""
+    begin = int(lead.max()) - lead
     found = []
-    low, key_width = None, 1 << 16
-    for a in range(0, columns.rows, BLOCK):
-        b = min(a + BLOCK, columns.rows)
-        key = np.asarray(columns.segment[a:b]).astype(np.int64) * key_width + np.asarray(columns.position[a:b])
-        goes_on = np.asarray(columns.prefix[a:b]) >= SPAN
-        starts = np.flatnonzero(~goes_on) if a == 0 or not goes_on[0] else np.concatenate([[0], np.flatnonzero(~goes_on)])
-        lows = np.minimum.reduceat(key, starts)
-        if goes_on[0] and low is not None:
-            if lows[0] < low:
-                found.append(np.array([low]))  # what was taken for the earliest so far
-            lows[0] = min(lows[0], low)
-        of_row = np.repeat(lows, np.diff(np.append(starts, b - a)))
-        found.append(key[key > of_row])
-        low = lows[-1]
-    keys = np.concatenate(found) if found else np.zeros(0, np.int64)
-    return keys // key_width, keys % key_width
+    for column, order, prefix in suffix_rounds(pieces, lead, gram):
+        goes_on = prefix >= SPAN
+        if goes_on.any():
+            starts = np.flatnonzero(~goes_on)
+            low = np.repeat(np.minimum.reduceat(order, starts), np.diff(np.append(starts, len(order))))
+            later = order[np.any(place[order] != place[low], axis=1)]
+            found.append(np.column_stack([later, column - begin[later]]))
+    found = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+    return found[:, 0], found[:, 1]
 
 
 def _order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(gram, doc, first, piece) sorted by gram to spans (doc, start, end) of windows that start earlier elsewhere."""
-
-    def repeated(grams: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
-        grams.sort(key=lambda x: x[:2])  # so that the order of segments is that of their places
-        texts = [x[2] for x in grams]
-        segment, position = later_windows(suffix_columns(texts))
-        docs, firsts = (np.array([x[k] for x in grams], dtype=np.int64) for k in (0, 1))
-        spans = np.column_stack([docs[segment], firsts[segment] + position, firsts[segment] + position + SPAN])
-        spans = _merged(spans) if len(spans) else spans.reshape(0, 3)
+    """(gram, doc, first, lead, piece) sorted by gram to spans of windows that start earlier elsewhere."""
+
+    def repeated(held: list[tuple]) -> pa.RecordBatch:
+        held.sort(key=lambda x: (x[1], x[2] + x[3]))  # earlier pieces get smaller numbers
+        _, gram = np.unique([x[0] for x in held], return_inverse=True)
+        doc, first, lead = (np.array([x[k] for x in held], dtype=np.int64) for k in (1, 2, 3))
+        piece, offset = later_windows([x[4] for x in held], lead, gram, np.column_stack([doc, first + lead]))
+        spans = np.column_stack([doc[piece], first[piece] + offset, first[piece] + offset + SPAN])
+        spans = _merged(spans) if len(spans) else spans
         return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in spans.T], names=["doc", "start", "end"])
 
-    held, same, last = [], [], None  # grams with several pieces; pieces of the gram at hand
+    held, same = [], []  # grams with several pieces; pieces of the gram at hand
     for batch in with_rows(batches):
-        for gram, doc, first, piece in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if gram != last:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if same and row[0] != same[0][0]:
                 if len(same) > 1:
                     held += same
                 if len(held) >= COLLECTION:
                     yield repeated(held)
                     held = []
-                same, last = [], gram
-            same.append((doc, first, piece))
+                same = []
+            same.append(row)
     if len(same) > 1:
         held += same
     if held:
@@ -324,13 +304,13 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for w in wanted.as_py():
                 first = w["first"]
                 if not w["hot"]:
-                    rows.append((w["gram"], doc, first, raw[first:first + w["windows"] + SPAN - 1]))
+                    rows.append((w["gram"], doc, first, w["shape"] >> 8, raw[first:first + (w["shape"] & 255) + SPAN - 1]))
                     continue
-                for at in range(first, first + w["windows"]):
+                for at in range(first, first + (w["shape"] & 255)):
                     piece = raw[at:at + SPAN]
                     gram = xxhash.xxh3_64_intdigest(piece[:GRAM] + piece[-GRAM:], w["gram"] & (1 << 64) - 1) >> 1
-                    rows.append((gram, doc, at, piece))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _PIECE, strict=True)], names=["gram", "doc", "first", "piece"])
+                    rows.append((gram, doc, at, 0, piece))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _PIECE, strict=True)], names=["gram", "doc", "first", "lead", "piece"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -354,15 +334,15 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeated_spans(texts: DataFrame) -> DataFrame:
     """``(doc, text)`` to spans ``(doc, start, end)`` that cover every byte to remove; they may overlap."""
-    dealt = texts.mapInArrow(_deal, "gram long, content long, doc long, first long, windows long")
-    folded = dealt.repartition("gram").sortWithinPartitions(*_DEALT[:4]).mapInArrow(_fold, "doc long, gram long, first long, windows long")
-    found = cut_lineage(folded.repartition("doc").sortWithinPartitions("doc", "first").mapInArrow(_gather, "doc long, gram long, first long, windows long"))
-    whole = found.filter("windows < 0").select("doc", F.col("first").alias("start"), (-F.col("windows")).alias("end"))
-    mixed = found.filter("windows > 0")
+    dealt = texts.mapInArrow(_deal, "gram long, content long, doc long, first long, shape long")
+    folded = dealt.repartition("gram").sortWithinPartitions(*_DEALT[:4]).mapInArrow(_fold, "doc long, gram long, first long, shape long")
+    found = cut_lineage(folded.repartition("doc").sortWithinPartitions("doc", "first").mapInArrow(_gather, "doc long, gram long, first long, shape long"))
+    whole = found.filter("shape < 0").select("doc", F.col("first").alias("start"), (-F.col("shape")).alias("end"))
+    mixed = found.filter("shape > 0")
     hot = mixed.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT).select("gram", F.lit(True).alias("hot"))
     mixed = join_hot(mixed, cut_lineage(hot), "gram").withColumn("hot", F.coalesce("hot", F.lit(False)))
-    wanted = mixed.groupBy("doc").agg(F.collect_list(F.struct("gram", "first", "windows", "hot")).alias("wanted"))
-    pieces = texts.join(wanted, "doc").select("doc", "text", "wanted").mapInArrow(_pieces, "gram long, doc long, first long, piece binary")
+    wanted = mixed.groupBy("doc").agg(F.collect_list(F.struct("gram", "first", "shape", "hot")).alias("wanted"))
+    pieces = texts.join(wanted, "doc").select("doc", "text", "wanted").mapInArrow(_pieces, "gram long, doc long, first long, lead long, piece binary")
     ordered = pieces.repartition("gram").sortWithinPartitions("gram").mapInArrow(_order, "doc long, start long, end long")
     return whole.unionByName(ordered)
 
