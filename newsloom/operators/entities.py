@@ -13,8 +13,6 @@ from newsloom.plans.intervals import interval
 from newsloom.plans.keys import top_per_key
 
 # Fixed values of stored entity rows.
-TEXT_MAX = 255
-CODE_MAX = 32
 TICKER_PATTERN = r"^[A-Z0-9][A-Z0-9.\-:/]{0,31}$"
 SPOTLIGHT_TIERS = ("S", "A", "TIER-1", "TIER1", "1")
 CLASSIFICATION = (
@@ -92,7 +90,7 @@ def _ticker(value: Column) -> Column:
 
 
 def _name(value: Column) -> Column:
-    return F.substring(F.trim(F.coalesce(value, F.lit(""))), 1, TEXT_MAX)
+    return F.trim(F.coalesce(value, F.lit("")))
 
 
 def classification_entities(results: DataFrame, watchlist: DataFrame) -> DataFrame:
@@ -106,7 +104,7 @@ def classification_entities(results: DataFrame, watchlist: DataFrame) -> DataFra
     lookup = symbols_by_name(mentions, watchlist).groupBy("name").agg(F.min("symbol").alias("watch"))
     named = mentions.join(lookup, "name", "left").select(
         "news_id", "confidence", F.lit(0).alias("part"), "pos", "name", F.coalesce("watch", "own").alias("ticker"),
-        F.when(F.col("watch").isNull() & (F.col("exchange") != "") & (F.length("exchange") <= CODE_MAX),
+        F.when(F.col("watch").isNull() & (F.col("exchange") != ""),
                F.col("exchange")).alias("exchange"),
         "is_primary", text.casefold(F.col("name")).alias("key"))
     bare = parsed.select("news_id", confidence, F.posexplode("r.tickers").alias("pos", "t")).select(

@@ -20,14 +20,15 @@ def consecutive_failures(fetch_logs: DataFrame) -> DataFrame:
     """Failures after the last success per source.
 
     Two partial aggregations instead of a window over each source's whole log: the second pass
-    only compares a log row with one (source, last success) row.
+    only compares a log row with one (source, last success) row. The log is the streamed side of an inner
+    join, so only the table of sources can be broadcast; sources without a failure come back at the end.
     """
     order = F.struct("fetched_at", "log_id")
     success = F.col("status") == "success"
     last_ok = fetch_logs.groupBy("source_id").agg(F.max(F.when(success, order)).alias("_ok"))
-    return fetch_logs.filter(~success).join(last_ok, "source_id", "right").groupBy("source_id").agg(
-        F.count_if(F.col("log_id").isNotNull() & (F.col("_ok").isNull() | (order > F.col("_ok")))).alias(
-            "consecutive_failures"))
+    since = fetch_logs.filter(~success).join(last_ok, "source_id").filter(F.col("_ok").isNull() | (order > F.col("_ok")))
+    counts = since.groupBy("source_id").agg(F.count("log_id").alias("consecutive_failures"))
+    return last_ok.select("source_id").join(counts, "source_id", "left").na.fill(0, ["consecutive_failures"])
 
 
 def poll_state(fetch_logs: DataFrame) -> DataFrame:

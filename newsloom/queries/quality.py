@@ -97,11 +97,11 @@ def b5(desk: Desk) -> DataFrame:
 @query("b6_pending_items", f"""
 SELECT news_id AS raw_id, fetched_at FROM news
 WHERE news_id NOT IN (SELECT news_id FROM news WHERE created_at < TIMESTAMP '{CUT}')
-ORDER BY fetched_at DESC, news_id DESC LIMIT 500""")
+""")
 def b6(desk: Desk) -> DataFrame:
     raw = desk.news.select(F.col("news_id").alias("raw_id"), "fetched_at", "created_at")
     done = raw.filter(F.col("created_at") < wall(CUT))
-    return quality.pending(raw, done, limit=500).select("raw_id", "fetched_at")
+    return quality.pending(raw, done).select("raw_id", "fetched_at")
 
 
 STATUS_SQL = f"""

@@ -247,9 +247,9 @@ def g18(desk: Desk) -> DataFrame:
     return reports.operational_checks(desk.job_runs, desk.fetch_logs, desk.model_runs, sent, wall("2024-01-20 12:00:00"))
 
 
-@query("g19_job_failures", "SELECT run_id, job_name, started_at FROM job_runs WHERE status <> 'success' ORDER BY started_at DESC, run_id DESC LIMIT 200")
+@query("g19_job_failures", "SELECT run_id, job_name, started_at FROM job_runs WHERE status <> 'success'")
 def g19_failures(desk: Desk) -> DataFrame:
-    return reports.job_failures(desk.job_runs, 200).select("run_id", "job_name", "started_at")
+    return reports.job_failures(desk.job_runs).select("run_id", "job_name", "started_at")
 
 
 @query("g19_command_counts", "SELECT status, count(*) AS commands FROM commands GROUP BY 1")

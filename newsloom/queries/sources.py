@@ -57,7 +57,7 @@ hrefs AS (SELECT page_id, url, regexp_extract_all(html, '<a href="/([^"]*)"', 1)
 flat AS (SELECT page_id, unnest(h) AS h, unnest(range(len(h))) AS pos, regexp_extract(url, '^(https?)://', 1) || '://' || regexp_extract(url, '://([^/?#]+)', 1)
   || '/article/' AS base FROM hrefs),
 firsts AS (SELECT page_id, base || h AS link, min(pos) AS pos FROM flat WHERE h <> '' GROUP BY 1, 2),
-outs AS (SELECT page_id, link, CAST(row_number() OVER (PARTITION BY page_id ORDER BY pos) - 1 AS INT) AS position FROM firsts QUALIFY position < 30)"""
+outs AS (SELECT page_id, link, CAST(row_number() OVER (PARTITION BY page_id ORDER BY pos) - 1 AS INT) AS position FROM firsts)"""
 
 
 def linked_pages(desk: Desk) -> DataFrame:
