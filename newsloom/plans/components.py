@@ -30,9 +30,10 @@ def join_hot(many: DataFrame, few: DataFrame, key: str) -> DataFrame:
 def connected_components(edges: DataFrame) -> DataFrame:
     """``(src, dst)`` edges to ``(node, component)``; the component is the smallest node id.
 
-    Each round every node moves to the smallest node next to it and the edges are rewritten to the nodes moved to,
-    until no edge is left. The smallest node of a component never moves, so it is the one that remains. Rounds are
-    written to the checkpoint folder; none is skipped or capped. Nodes without an edge are absent.
+    Each round every node moves to the smallest node next to it, from there on to that one's, and so to the end of the
+    chain; the edges are rewritten to the nodes moved to, until no edge is left. The smallest node of a component
+    never moves, so it is the one that remains. Rounds are written to the checkpoint folder; none is skipped or
+    capped. Nodes without an edge are absent.
     """
     links = cut_lineage(
         edges.select("src", "dst").filter(F.col("src") != F.col("dst"))
@@ -43,6 +44,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
         both = links.unionByName(links.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
         moves = cut_lineage(both.groupBy("src").agg(F.min("dst").alias("_low")).select(
             "src", F.least("src", "_low").alias("to")))
+        settled = False
+        while not settled:  # to the end of each chain of moves, twice as far every time
+            ends = moves.select(F.col("src").alias("to"), F.col("to").alias("_next"))
+            further = cut_lineage(join_hot(moves, ends, "to").select("src", F.col("_next").alias("to"), (F.col("_next") < F.col("to")).alias("_on")))
+            settled, moves = further.filter("_on").isEmpty(), further.select("src", "to")
         if first:
             labels, first = moves.select(F.col("src").alias("node"), F.col("to").alias("component")), False
         else:
