@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -52,17 +53,25 @@ def plan_tables(n: int, cosine: float = COSINE, miss: float = MISS) -> tuple[int
     return k, max(1, math.ceil(math.log(miss) / math.log(1 - met)))
 
 
-def table_keys(unit: np.ndarray, k: int, tables: int) -> np.ndarray:
-    """One 64-bit key per row and table. Sums run in a fixed order, so every task gets the same keys."""
-    dims = unit.shape[1]
+@lru_cache(maxsize=16)
+def _projections(dims: int, k: int, tables: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Directions, offsets and key factors; the same in every task."""
     random = np.random.default_rng([SEED, dims, k, tables])
-    directions = random.standard_normal((dims, tables * k))
-    sums = np.tile(random.random(tables * k) * WIDTH, (len(unit), 1))
+    directions, offsets = random.standard_normal((dims, tables * k)), random.random(tables * k) * WIDTH
+    return directions, offsets, random.integers(1, 1 << 63, (tables, k), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def table_keys(unit: np.ndarray, k: int, tables: int, first: int | None = None) -> np.ndarray:
+    """One 64-bit key per row and table, of the ``first`` tables only if given. Sums run in a fixed order, so every
+    task gets the same keys."""
+    dims = unit.shape[1]
+    directions, offsets, factors = _projections(dims, k, tables)
+    some = tables if first is None else first
+    sums = np.tile(offsets[: some * k], (len(unit), 1))
     for d in range(dims):
-        sums += unit[:, d, None] * directions[d]
-    cells = np.floor(sums / WIDTH).astype(np.int64).view(np.uint64).reshape(len(unit), tables, k)
-    factors = random.integers(1, 1 << 63, (tables, k), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    mixed = (cells * factors).sum(axis=2, dtype=np.uint64) ^ np.uint64(dims)
+        sums += unit[:, d, None] * directions[d, : some * k]
+    cells = np.floor(sums / WIDTH).astype(np.int64).view(np.uint64).reshape(len(unit), some, k)
+    mixed = (cells * factors[:some]).sum(axis=2, dtype=np.uint64) ^ np.uint64(dims)
     return (mixed * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
 
 
@@ -80,14 +89,19 @@ def _unit(column: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def _block_links(unit: np.ndarray, keys: np.ndarray, sizes: np.ndarray, table: int, side: np.ndarray | None, cosine: float):
+def _block_links(unit: np.ndarray, k: int, tables: int, sizes: np.ndarray, table: int, side: np.ndarray | None, cosine: float):
     """Links of a block of one bucket: (vectors newly linked to each row, smallest row reachable from each)."""
     near = unit @ unit.T >= cosine
     np.fill_diagonal(near, False)
     if side is not None:  # two blocks: only pairs between them
         near &= side[:, None] != side[None, :]
+    some = np.flatnonzero(near.any(axis=1))
+    if not len(some):  # a chance meeting; nothing to hash again
+        return np.zeros(len(unit), np.int64), np.arange(len(unit))
+    keys, fresh = table_keys(unit[some], k, tables, table), near[np.ix_(some, some)]
     for earlier in range(table):
-        near &= keys[:, earlier, None] != keys[None, :, earlier]
+        fresh &= keys[:, earlier, None] != keys[None, :, earlier]
+    near[np.ix_(some, some)] = fresh
     return near @ sizes, components_of(near)
 
 
@@ -152,7 +166,7 @@ def near_links(vectors: DataFrame, cosine: float = COSINE, id_column: str = "vec
             vector = vector.chunk(0) if isinstance(vector, pa.ChunkedArray) else vector
             for places, unit in _unit(vector).values():
                 at = a + places
-                linked, low = _block_links(unit, table_keys(unit, k, tables), n[at], int(table), None if p == q else block[at], cosine)
+                linked, low = _block_links(unit, k, tables, n[at], int(table), None if p == q else block[at], cosine)
                 some = np.flatnonzero((linked > 0) | (low != np.arange(len(low))))
                 if len(some):
                     yield pa.RecordBatch.from_arrays([pa.array(cls[at][some]), pa.array(cls[at][low[some]]), pa.array(linked[some].astype(np.int64))], names=["cls", "low", "links"])
