@@ -12,7 +12,9 @@ def join_hot(many: DataFrame, few: DataFrame, key: str) -> DataFrame:
     """Left join of ``many`` (a key may hold most of its rows) with ``few`` (one row per key).
 
     Keys with more than 1/parts of the rows are split off: by count there are fewer than ``parts`` of them, so
-    their side is broadcast with a proven bound and their rows stay where they are. All others are shuffled.
+    their side is broadcast with a proven bound and their rows stay where they are. All others are shuffled. The
+    union of both has twice the partitions; it is brought back to ``parts``, or a loop of such joins would double
+    them every time.
     """
     spark = many.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
@@ -24,7 +26,7 @@ def join_hot(many: DataFrame, few: DataFrame, key: str) -> DataFrame:
     heavy_few = F.broadcast(few.join(F.broadcast(heavy), key, "left_semi"))
     hot = many.join(F.broadcast(heavy), key, "left_semi").join(heavy_few, key, "left")
     cold = many.join(F.broadcast(heavy), key, "left_anti").join(few, key, "left")
-    return hot.unionByName(cold)
+    return hot.unionByName(cold).coalesce(parts)
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
