@@ -85,7 +85,7 @@ def resolve_symbols(watchlist: DataFrame, stored: DataFrame, universe: DataFrame
                        keep("provider_symbol", provider_symbol), keep("status", status), keep("reason", reason), fallback, "reused")
 
 
-def import_watchlist(rows: DataFrame, existing: DataFrame, max_rounds: int = 100) -> DataFrame:
+def import_watchlist(rows: DataFrame, existing: DataFrame) -> DataFrame:
     """Outcome of every file row: imported, incomplete, or skipped by symbol or name.
 
     ``rows`` carry ``idx`` (file order). A row is skipped when its symbol, else its name, belongs
@@ -100,7 +100,7 @@ def import_watchlist(rows: DataFrame, existing: DataFrame, max_rounds: int = 100
     names = existing.select(F.lower("name").alias("n")).distinct()
     start = tidy.filter("whole").join(symbols, "s", "left_anti").join(names, "n", "left_anti").select("idx", "s", "n")
     pending, imported = cut_lineage(start), None
-    for _ in range(max_rounds):
+    while True:  # every round settles at least the first open row
         by_symbol = pending.filter("s IS NOT NULL").groupBy("s").agg(F.min("idx").alias("_fs"))
         by_name = pending.groupBy("n").agg(F.min("idx").alias("_fn"))
         rated = pending.join(by_symbol, "s", "left").join(by_name, "n")
@@ -110,8 +110,6 @@ def import_watchlist(rows: DataFrame, existing: DataFrame, max_rounds: int = 100
             wins.select("s").filter("s IS NOT NULL"), "s", "left_anti").join(wins.select("n"), "n", "left_anti"))
         if pending.isEmpty():
             break
-    else:
-        raise RuntimeError(f"import did not settle in {max_rounds} rounds")
     # per key the earliest imported row; -1 marks an entry that existed before the import
     claims_s = symbols.withColumn("idx", F.lit(-1).cast("bigint")).unionByName(
         imported.filter("s IS NOT NULL").select("s", F.col("idx").cast("bigint"))).groupBy("s").agg(F.min("idx").alias("_cs"))
