@@ -113,8 +113,12 @@ terms AS (SELECT watch_id, symbol, tier, unnest([lower(name), lower(symbol)] ||
           FROM watchlist WHERE enabled)"""
 TEXT_MATCH_SQL = rf"""
 {WATCH_TERMS_SQL},
-matched AS (SELECT DISTINCT n.news_id, t.watch_id, t.symbol FROM news n JOIN terms t
-  ON regexp_matches({fold("n.title || ' ' || coalesce(n.snippet, '')")}, '(^|[^\p{{L}}\p{{N}}_])' || t.term || '($|[^\p{{L}}\p{{N}}_])'))"""
+bodies AS (SELECT news_id, {fold("title || ' ' || coalesce(snippet, '')")} AS body FROM news),
+words AS (SELECT news_id, unnest(list_distinct(regexp_extract_all(body, '[\p{{L}}\p{{N}}_]+'))) AS word FROM bodies),
+firsts AS (SELECT *, regexp_extract(term, '[\p{{L}}\p{{N}}_]+') AS word FROM terms),
+matched AS (SELECT w.news_id, f.watch_id, f.symbol FROM words w JOIN firsts f USING (word) WHERE f.word = f.term
+  UNION SELECT b.news_id, f.watch_id, f.symbol FROM words w JOIN firsts f USING (word) JOIN bodies b USING (news_id)
+  WHERE f.word <> f.term AND contains(b.body, f.term) AND regexp_matches(b.body, '(^|[^\p{{L}}\p{{N}}_])' || regexp_escape(f.term) || '($|[^\p{{L}}\p{{N}}_])'))"""
 
 
 @query("c4_watchlist_text_match", f"WITH {TEXT_MATCH_SQL} SELECT * FROM matched")

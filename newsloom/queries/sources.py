@@ -23,7 +23,7 @@ def xml_text(c: Column) -> Column:
 
 
 def feed_documents(desk: Desk) -> DataFrame:
-    """One feed document per news row: mostly RSS, some Atom, some with a wrong encoding label."""
+    """One feed document per news row: mostly RSS, some Atom with several links, some RDF, with wrong encoding labels."""
     n = F.col("news_id")
     stamp = F.date_format("fetched_at", "EEE, dd MMM yyyy HH:mm:ss")
     title, body = xml_text(F.concat(F.col("title"), F.lit(" <b>&amp;</b> x"))), xml_text(F.col("content"))
@@ -32,15 +32,18 @@ def feed_documents(desk: Desk) -> DataFrame:
                     F.lit("</link><description>"), body, F.lit("</description><pubDate>"), stamp,
                     F.lit(" GMT</pubDate><guid>g"), n, F.lit("</guid></item>"))
     rss = F.concat(F.lit("<?xml version=\"1.0\" encoding=\"utf-16\"?><rss><channel><title>feed</title>"), item, F.lit("</channel></rss>"))
-    entry = F.concat(F.lit("<feed><title>feed</title><entry><title>"), title, F.lit("</title><link href=\""), link,
-                     F.lit("\"/><summary>"), body, F.lit("</summary><updated>"), F.date_format("fetched_at", "yyyy-MM-dd'T'HH:mm:ss"),
+    rdf = F.concat(F.lit("<rdf:RDF><channel><title>feed</title></channel><item><title>"), title, F.lit("</title><link>"), link,
+                   F.lit("</link><description>"), body, F.lit("</description><dc:date>"), F.date_format("fetched_at", "yyyy-MM-dd'T'HH:mm:ss"),
+                   F.lit("Z</dc:date><guid>g"), n, F.lit("</guid></item></rdf:RDF>"))
+    entry = F.concat(F.lit("<feed><title>feed</title><entry><title>"), title, F.lit("</title><link rel=\"self\" href=\"http://feed/self\"/><link href=\""),
+                     link, F.lit("\"/><link rel=\"enclosure\" href=\"http://feed/file\"/><summary>"), body, F.lit("</summary><updated>"), F.date_format("fetched_at", "yyyy-MM-dd'T'HH:mm:ss"),
                      F.lit("Z</updated><id>g"), n, F.lit("</id></entry></feed>"))
-    return desk.news.select(n.alias("feed_id"), F.when(n % 7 == 3, entry).otherwise(rss).alias("body"))
+    return desk.news.select(n.alias("feed_id"), F.when(n % 7 == 3, entry).when(n % 7 == 5, rdf).otherwise(rss).alias("body"))
 
 
 @query("a1_feed_items", rf"""
 SELECT news_id AS feed_id, {norm('title')} || ' & x' AS title, url, {norm('content')} AS description, fetched_at AS published_at, 'g' || news_id AS guid
-FROM news WHERE news_id % 10 <> 9 OR news_id % 7 = 3""")
+FROM news WHERE news_id % 10 <> 9 OR news_id % 7 IN (3, 5)""")
 def a1(desk: Desk) -> DataFrame:
     return feeds.parse_feeds(feed_documents(desk))
 
@@ -69,11 +72,25 @@ def a3(desk: Desk) -> DataFrame:
     return pages.outlinks(linked_pages(desk))
 
 
+def marked_pages(desk: Desk) -> DataFrame:
+    """The pages, two thirds of them with structured data or meta tags ahead of their markup."""
+    n = F.col("page_id")
+    data = F.concat(F.lit('<script type="application/ld+json">[{"@graph": [{"@type": "Thing", "headline": "no"}, {"@type": ["Thing", "NewsArticle"], '
+                          '"headline": "Page &amp; '), n, F.lit('", "description": {"name": "told"}, "dateModified": "2024-01-02"}]}]</script>'))
+    tags = F.concat(F.lit('<meta name="twitter:title" content="Later"><!-- <meta property="og:title" content="no"> -->'
+                          "<META content='Page > "), n, F.lit("' property='og:title'/><meta name=description content=brief><time></time>"
+                                                              '<time datetime="2024-02-03">x</time>'))
+    return desk.table("pages").withColumn("html", F.concat(
+        F.when(n % 3 == 1, data).when(n % 3 == 2, tags).otherwise(""), F.col("html")))
+
+
 @query("a4_page_metadata", rf"""
-SELECT page_id, trim(regexp_replace(replace(replace(regexp_extract(html, '<h1>(.*?)</h1>', 1), '&amp;', '&'), '&quot;', '"'), '\s+', ' ', 'g')) AS title,
-  '' AS description, CAST(NULL AS VARCHAR) AS published FROM pages""")
+SELECT page_id, CASE page_id % 3 WHEN 1 THEN 'Page & ' || page_id WHEN 2 THEN 'Page > ' || page_id
+    ELSE trim(regexp_replace(replace(replace(regexp_extract(html, '<h1>(.*?)</h1>', 1), '&amp;', '&'), '&quot;', '"'), '\s+', ' ', 'g')) END AS title,
+  CASE page_id % 3 WHEN 1 THEN 'told' WHEN 2 THEN 'brief' ELSE '' END AS description,
+  CASE page_id % 3 WHEN 1 THEN '2024-01-02' WHEN 2 THEN '2024-02-03' END AS published FROM pages""")
 def a4(desk: Desk) -> DataFrame:
-    return pages.page_metadata(desk.table("pages"))
+    return pages.page_metadata(marked_pages(desk))
 
 
 TEXTS_SQL = r"""

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from newsloom.functions import text
 
-ITEM_FIELDS = ("title", "link", "description", "summary", "pubDate", "published", "updated", "guid", "id")
-RSS_SCHEMA = "channel struct<item:array<struct<" + ",".join(f"{f}:string" for f in ITEM_FIELDS) + ">>>"
-ATOM_SCHEMA = ("entry array<struct<title:string,link:struct<_href:string,_VALUE:string>,summary:string,published:string,"
-               "updated:string,id:string>>")
+ITEM_FIELDS = ("title", "link", "description", "summary", "pubDate", "published", "updated", "dc:date", "guid", "id")
+ITEMS = "array<struct<" + ",".join(f"`{f}`:string" for f in ITEM_FIELDS) + ">>"
+RSS_SCHEMA = f"channel struct<item:{ITEMS}>, item {ITEMS}"  # RDF feeds hold their items beside the channel
+ATOM_SCHEMA = ("entry array<struct<title:string,link:array<struct<_href:string,_rel:string,_VALUE:string>>,summary:string,"
+               "published:string,updated:string,`dc:date`:string,id:string>>")
 EMPTY_DC = r"(?i)<dc:description\s*/>|<dc:description\s*>\s*</dc:description\s*>"
 
 
@@ -28,27 +29,39 @@ def _feed_rows(items: DataFrame, keys: list[str]) -> DataFrame:
         "guid").filter((F.col("title") != "") & (F.col("url") != ""))
 
 
+def _entry_link(links: Column) -> Column:
+    """The article's own link: the first that is an alternate (no ``rel`` means one), else the first at all."""
+    own = F.filter(links, lambda k: F.coalesce(F.lower(k["_rel"]), F.lit("alternate")) == "alternate")
+    link = F.coalesce(F.try_element_at(own, F.lit(1)), F.try_element_at(links, F.lit(1)))
+    return F.coalesce(link["_href"], link["_VALUE"])
+
+
 def parse_feeds(feeds: DataFrame, body: str = "body") -> DataFrame:
-    """Items of RSS and Atom documents held in a text column; other columns ride along."""
+    """Items of RSS, RDF and Atom documents held in a text column; other columns ride along."""
     keys = [c for c in feeds.columns if c != body]
     xml = clean_feed_xml(F.col(body))
     is_atom = xml.rlike(r"(?is)<feed[\s>]")
-    rss = feeds.filter(~is_atom).select(*keys, F.explode(F.from_xml(xml, RSS_SCHEMA).getField("channel").getField("item")).alias("i")).select(
+    nothing = F.array().cast(ITEMS)
+    document = feeds.filter(~is_atom).select(*keys, F.from_xml(xml, RSS_SCHEMA).alias("d"))
+    rss = document.select(*keys, F.explode(F.concat(
+        F.coalesce("d.channel.item", nothing), F.coalesce("d.item", nothing))).alias("i")).select(
         *keys, "i.title", "i.link", F.coalesce("i.description", "i.summary").alias("summary"),
-        F.coalesce("i.pubDate", "i.published").alias("published"), "i.updated", F.coalesce("i.guid", "i.id").alias("guid"))
+        F.coalesce("i.pubDate", "i.published").alias("published"), F.coalesce("i.updated", "i.dc:date").alias("updated"),
+        F.coalesce("i.guid", "i.id").alias("guid"))
     atom = feeds.filter(is_atom).select(*keys, F.explode(F.from_xml(xml, ATOM_SCHEMA).getField("entry")).alias("i")).select(
-        *keys, "i.title", F.coalesce(F.col("i.link._href"), F.col("i.link._VALUE")).alias("link"), "i.summary",
-        "i.published", "i.updated", F.col("i.id").alias("guid"))
+        *keys, "i.title", _entry_link(F.col("i.link")).alias("link"), "i.summary", "i.published",
+        F.coalesce("i.updated", "i.dc:date").alias("updated"), F.col("i.id").alias("guid"))
     return _feed_rows(rss.unionByName(atom), keys)
 
 
 def read_feed_files(spark: SparkSession, path: str) -> DataFrame:
     """Items of RSS files; Spark splits large files at the item tag."""
     raw = spark.read.format("xml").option("rowTag", "item").schema(
-        ", ".join(f"{f} string" for f in ITEM_FIELDS)).load(path)
+        ", ".join(f"`{f}` string" for f in ITEM_FIELDS)).load(path)
     return _feed_rows(raw.select(
         "title", "link", F.coalesce("description", "summary").alias("summary"),
-        F.coalesce("pubDate", "published").alias("published"), "updated", F.coalesce("guid", "id").alias("guid")), [])
+        F.coalesce("pubDate", "published").alias("published"), F.coalesce("updated", "`dc:date`").alias("updated"),
+        F.coalesce("guid", "id").alias("guid")), [])
 
 
 def aggregator_snippet(title: Column, description: Column) -> Column:

@@ -55,19 +55,21 @@ class VersionedTable:
     """A small keyed state table with one version per micro-batch.
 
     Batch n reads version n-1 and overwrites version n, so a retried batch writes the same version
-    again and a lost executor costs nothing but that batch.
+    again and a lost executor costs nothing but that batch. The newest version is found in the folder,
+    so a later run goes on from it, with or without new files.
     """
 
     def __init__(self, spark: SparkSession, folder: str, schema: str) -> None:
         self.spark, self.folder, self.schema = spark, folder, schema
+        self.store(spark.createDataFrame([], schema), -1)
 
     def before(self, batch_id: int) -> DataFrame:
-        if batch_id == 0:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.folder}/v{batch_id - 1}")
+        return self.spark.read.schema(self.schema).parquet(f"{self.folder}/version={batch_id - 1}")
 
     def store(self, rows: DataFrame, batch_id: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{self.folder}/v{batch_id}")
+        rows.write.mode("overwrite").parquet(f"{self.folder}/version={batch_id}")
 
-    def latest(self, batch_id: int) -> DataFrame:
-        return self.spark.read.schema(self.schema).parquet(f"{self.folder}/v{batch_id}")
+    def latest(self) -> DataFrame:
+        versions = self.spark.read.schema(f"{self.schema}, version long").parquet(self.folder)
+        newest = versions.agg(F.max("version")).scalar()
+        return versions.filter(F.col("version") == F.lit(newest)).drop("version")

@@ -61,15 +61,12 @@ def _merge_poll_state(old: DataFrame, batch: DataFrame) -> DataFrame:
 def run_poll_state(logs: DataFrame, folder: str) -> DataFrame:
     """Fold a fetch-log stream into the poll state of every source."""
     table = VersionedTable(logs.sparkSession, f"{folder}/state", POLL_SCHEMA)
-    seen = {"batch": -1}
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         table.store(_merge_poll_state(table.before(batch_id), batch), batch_id)
-        seen["batch"] = batch_id
 
     run_batches(logs, handle, folder)
-    state = table.latest(seen["batch"])
-    return state.select(
+    return table.latest().select(
         "source_id", "last_fetched_at", "consecutive_failures", (F.col("last_burst") + interval(BURST_WINDOW)).alias("burst_until_at"),
         F.when(F.col("consecutive_failures") >= COOLDOWN_AFTER, F.col("last_fail") + interval(FAILURE_COOLDOWN)).alias("disabled_until_at"))
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from newsloom.functions import scoring, text
 from newsloom.operators import clustering
 from newsloom.sources import feeds, pages, quotes, registry
+from newsloom.streaming import jobs
 
 
 def one(spark, column):
@@ -207,6 +208,57 @@ def test_feed_files(spark, tmp_path):
     assert [(r["title"], r["url"], str(r["published_at"])) for r in rows] == [("T & x", "http://a/1", "2024-01-01 00:00:00")]
 
 
+def test_page_metadata_picks_the_best_source(spark):
+    def script(data, kind="application/ld+json"):
+        return f'<script type="{kind}">{data}</script>'
+
+    rows = [
+        ("graph before its holder", script('{"@type": "Article", "headline": "outer", "@graph": [[{"@type": "newsarticle", "headline": ["", {"name": "inner"}]}]]}'), ("inner", "", None)),
+        ("broken block is passed over", script("{no") + script('[{"@type": "Article", "headline": "second", "datePublished": 5, "dateModified": "m"}]'), ("second", "", "m")),
+        ("value of an object", script('{"@type": "Article", "headline": {"name": "", "@value": "v"}, "description": 7}'), ("v", "", None)),
+        ("other kinds of script", script('{"@type": "Article", "headline": "x"}', "text/plain") + "<h1> </h1><h1>A&amp;amp; <i>b</i></h1>", ("A& b", "", None)),
+        ("last of equal tags, empty ones ignored", '<meta name="TITLE" content="one"><meta content=\'two > 1\' name="title"><meta name="title" content="">', ("two > 1", "", None)),
+        ("attribute names inside values", '<meta name="description" content="say content=no name=title">', ("", "say content=no name=title", None)),
+        ("first time with a value", "<time>x</time><time datetime=2024-05-06><time datetime=2025-01-01>", ("", "", "2024-05-06")),
+        ("empty", "", ("", "", None)),
+        ("null", None, ("", "", None)),
+    ]
+    df = spark.createDataFrame([(i, "https://a.com/", r[1]) for i, r in enumerate(rows)], "page_id long, url string, html string")
+    got = {r["page_id"]: (r["title"], r["description"], r["published"]) for r in pages.page_metadata(df).collect()}
+    assert {rows[i][0]: v for i, v in got.items()} == {r[0]: r[2] for r in rows}
+
+
+def test_feed_shapes(spark):
+    rdf = ("<rdf:RDF xmlns:rdf='r' xmlns:dc='d'><channel/><item rdf:about='u'><title>R</title><link>http://a/r</link>"
+           "<dc:date>2024-01-02T00:00:00Z</dc:date></item></rdf:RDF>")
+    atom = ("<feed><entry><title>A</title><link rel='self' href='http://a/self'/><link rel='alternate' href='http://a/1'/>"
+            "<updated>2024-01-03T00:00:00Z</updated></entry><entry><title>B</title><link rel='self' href='http://a/2'/></entry></feed>")
+    df = spark.createDataFrame([(1, rdf), (2, atom), (3, "<rss><channel/></rss>"), (4, "no feed"), (5, None)], "feed_id long, body string")
+    got = {r["title"]: (r["feed_id"], r["url"], r["published_at"] and str(r["published_at"])) for r in feeds.parse_feeds(df).collect()}
+    assert got == {"R": (1, "http://a/r", "2024-01-02 00:00:00"), "A": (2, "http://a/1", "2024-01-03 00:00:00"), "B": (2, "http://a/2", None)}
+
+
+def test_poll_state_goes_on_after_a_restart(spark, tmp_path):
+    folder, logs = str(tmp_path / "job"), str(tmp_path / "logs")
+    schema = "log_id long, source_id string, status string, fetched_at timestamp_ntz, inserted int"
+
+    def run():
+        stream = spark.readStream.schema(schema).parquet(logs)
+        return {r["source_id"]: r["consecutive_failures"] for r in jobs.run_poll_state(stream, folder).collect()}
+
+    def log(*rows):
+        made = spark.createDataFrame(list(rows), "log_id long, source_id string, status string, at string, inserted int")
+        made.select("log_id", "source_id", "status", F.col("at").cast("timestamp_ntz").alias("fetched_at"), "inserted").coalesce(1).write.mode("append").parquet(logs)
+
+    log()
+    assert run() == {}
+    log((1, "a", "failed", "2024-01-01 00:00:00", 0), (2, "b", "success", "2024-01-01 00:00:00", 1))
+    assert run() == {"a": 1, "b": 0}
+    assert run() == {"a": 1, "b": 0}
+    log((3, "a", "failed", "2024-01-01 01:00:00", 0), (4, "b", "failed", "2024-01-01 01:00:00", 0))
+    assert run() == {"a": 2, "b": 1}
+
+
 def test_quote_gate_reason(spark):
     payload = spark.createDataFrame([(1, '{"universe": [{"name": "abc"}]}', '[{"markPx": "2", "prevDayPx": "1", "dayNtlVlm": "12.5"}]')],
                                     "payload_id long, universe string, contexts string")
