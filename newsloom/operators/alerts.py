@@ -12,6 +12,7 @@ from pyspark.sql import Window
 from newsloom.functions import scoring, text
 from newsloom.plans.intervals import interval
 from newsloom.plans.keys import top_per_key
+from newsloom.plans.lineage import cut_lineage
 
 # Fixed values of the alert and investigation rules.
 REEVALUATION = timedelta(days=7)
@@ -95,6 +96,9 @@ def suppression(events: DataFrame, rules: DataFrame, now: Column) -> DataFrame:
     hours do not depend on the event, and of the cool-downs only those matter that no older,
     longer rule covers, so both reduce to one row of aggregates read as a subquery.
     """
+    # events are read several times below, so they are derived once
+    events = cut_lineage(events.select(
+        "cluster_id", "last_alerted_at", "regions", "asset_classes", "affected_entities", "affected_tickers"))
     parsed = rules.filter("enabled").select("rule_id", "rule_type", "created_at", F.from_json("config", RULE_CONFIG).alias("c"))
     age = F.struct("created_at", "rule_id")
     zone = F.coalesce(F.nullif("c.timezone", F.lit("")), F.lit("Asia/Ho_Chi_Minh"))

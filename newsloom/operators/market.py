@@ -11,6 +11,7 @@ from newsloom.functions import scoring, text
 from newsloom.operators.entities import tier_for
 from newsloom.plans.intervals import interval, interval_extreme, interval_join
 from newsloom.plans.keys import top_per_key
+from newsloom.plans.lineage import cut_lineage
 
 # Fixed values of the event window.
 PRE_EVENT = timedelta(hours=24)
@@ -44,22 +45,30 @@ def event_move_pairs(clusters: DataFrame, moves: DataFrame, before: timedelta =
                          right_ts="ts")
 
 
+def narrow_events(clusters: DataFrame) -> DataFrame:
+    """What the score rules read of clusters, written once, so that clusters are not derived again for each use."""
+    return cut_lineage(clusters.select("cluster_id", "created_at", "affected_tickers", "affected_entities"))
+
+
 def best_move_scores(clusters: DataFrame, moves: DataFrame) -> DataFrame:
     """Best move score per event.
 
     Null when none of the event's symbols moved within the span of the whole batch, 0 when they
     moved but outside the event's own window.
     """
+    return _best_move_scores(narrow_events(clusters), moves)
+
+
+def _best_move_scores(clusters: DataFrame, moves: DataFrame) -> DataFrame:
     events = event_symbols(clusters, folded=False)
     at = F.col("created_at")
     scored = with_move_score(moves)
     best = interval_extreme(
         events, scored, row_id=["cluster_id"], keys=["symbol"], low=at - interval(PRE_EVENT),
         high=at + interval(POST_EVENT), right_ts="ts", value=F.col("move_score"), largest=True, out="_best")
-    span = clusters.agg(F.min("created_at").alias("lo"), F.max("created_at").alias("hi"))
-    low = span.select(F.col("lo") - interval(PRE_EVENT)).scalar()
-    high = span.select(F.col("hi") + interval(POST_EVENT)).scalar()
-    moved = moves.filter((F.col("ts") >= low) & (F.col("ts") <= high)).select("symbol").distinct()
+    span = clusters.agg(F.struct((F.min("created_at") - interval(PRE_EVENT)).alias("low"),
+                                 (F.max("created_at") + interval(POST_EVENT)).alias("high")).alias("span")).scalar()
+    moved = moves.filter((F.col("ts") >= span["low"]) & (F.col("ts") <= span["high"])).select("symbol").distinct()
     seen = events.join(moved, "symbol", "left_semi").select("cluster_id").distinct().withColumn("has_moves", F.lit(True))
     joined = clusters.select("cluster_id").join(seen, "cluster_id", "left").join(best, "cluster_id", "left")
     has = F.coalesce("has_moves", F.lit(False))
@@ -73,8 +82,9 @@ def cluster_tiers(clusters: DataFrame, watchlist: DataFrame) -> DataFrame:
 
 def score_clusters(clusters: DataFrame, moves: DataFrame, watchlist: DataFrame) -> DataFrame:
     """Tier, move score, score components and decision of every cluster."""
-    joined = clusters.join(cluster_tiers(clusters, watchlist), "cluster_id", "left").join(
-        best_move_scores(clusters, moves), "cluster_id", "left")
+    events = narrow_events(clusters)
+    joined = clusters.join(cluster_tiers(events, watchlist), "cluster_id", "left").join(
+        _best_move_scores(events, moves), "cluster_id", "left")
     score = scoring.score_event(
         top_source_score=F.col("top_source_score"), source_count=F.col("source_count"), tier=F.col("tier"),
         hq_source_count=F.col("hq_source_count"), status=F.col("status"), move_score=F.col("move_score"),

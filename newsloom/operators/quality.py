@@ -36,6 +36,16 @@ def normalize_and_hash(news: DataFrame) -> DataFrame:
         text.folded_hash(whole).alias("text_hash"))
 
 
+def hashed_for_dedup(news: DataFrame) -> DataFrame:
+    """As ``normalize_and_hash`` for the duplicate rules alone: only aggregator rows with a snippet are keyed by their
+    text, so snippet and content of all others are neither cleaned nor hashed. The content is left out.
+    """
+    by_text = (F.col("source_type") == AGGREGATOR) & F.col("snippet").isNotNull()
+    gated = news.select(*[c for c in news.columns if c not in ("snippet", "content")],
+                        *[F.when(by_text, F.col(c)).alias(c) for c in ("snippet", "content")])
+    return normalize_and_hash(gated).drop("content")
+
+
 def with_dedup_key(news: DataFrame) -> DataFrame:
     """Aggregator rows with a snippet are keyed by text and title, all others by URL."""
     by_text = (F.col("source_type") == AGGREGATOR) & F.col("snippet").isNotNull()

@@ -117,7 +117,7 @@ statuses AS (SELECT news_id, CASE WHEN noise THEN 'ignored'
 
 
 def statuses(desk: Desk) -> DataFrame:
-    rows = hashed(desk)
+    rows = quality.hashed_for_dedup(desk.news)
     old = rows.filter(F.col("created_at") < wall(CUT))
     new = rows.filter(F.col("created_at") >= wall(CUT))
     return quality.assign_status(new, old, NOISE)
@@ -135,7 +135,7 @@ marked AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY k ORDER BY create
 
 
 def deduped(desk: Desk) -> DataFrame:
-    return quality.mark_exact_duplicates(hashed(desk).withColumn("status", F.lit("normalized")))
+    return quality.mark_exact_duplicates(quality.hashed_for_dedup(desk.news).withColumn("status", F.lit("normalized")))
 
 
 @query("b8_exact_duplicates", f"WITH {DEDUPED_SQL} SELECT news_id, status FROM marked")

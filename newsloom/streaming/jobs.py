@@ -25,7 +25,7 @@ def deduplicated_news(news: DataFrame, lateness: str = FRESHNESS) -> DataFrame:
     The watermark runs on the effective time, so items older than the window are dropped where a
     batch run would skip them as stale. ``news`` needs a zoned ``effective_time``.
     """
-    keyed = quality.with_dedup_key(quality.normalize_and_hash(news))
+    keyed = quality.with_dedup_key(quality.hashed_for_dedup(news))
     return keyed.withWatermark("effective_time", lateness).dropDuplicatesWithinWatermark(list(quality.KEY))
 
 
