@@ -12,7 +12,7 @@ from newsloom.plans.lineage import cut_lineage
 from newsloom.plans.similarity import similar_pairs
 from newsloom.queries.base import query
 from newsloom.queries.entities import mention_terms
-from newsloom.queries.market import reviews
+from newsloom.queries.market import TIERS, decision_sql, reviews, score_sql
 from newsloom.queries.oracle_tables import fold, sql_list
 from newsloom.queries.vectors import NEAREST_SQL, PAIR, PAIRS_SQL, item_context, judged
 from newsloom.sources.tables import Desk, wall
@@ -247,25 +247,69 @@ def e13_clusters(desk: Desk) -> DataFrame:
                         "source_count", "hq_source_count", "top_source_score")
 
 
-@query("e14_merge_clusters", """
-WITH links AS (SELECT cluster_id, news_id FROM cluster_items UNION ALL SELECT cluster_id + 1, news_id FROM cluster_items WHERE news_id % 8 = 0),
-m AS (SELECT DISTINCT cluster_id AS source_id, cluster_id + 1 AS target_id FROM cluster_items WHERE cluster_id % 6 = 0),
-r AS (SELECT coalesce(m.target_id, l.cluster_id) AS cluster_id, l.news_id, m.target_id IS NOT NULL AS moved, l.cluster_id AS was_in FROM links l LEFT JOIN m ON m.source_id = l.cluster_id)
-SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY cluster_id, news_id ORDER BY moved, was_in) = 1""")
-def e14(desk: Desk) -> DataFrame:
+def doubled_links(desk: Desk) -> DataFrame:
+    """Links where some items belong to the next cluster too."""
     links = desk.cluster_items.select("cluster_id", "news_id")
-    doubled = links.unionByName(links.filter(F.col("news_id") % 8 == 0).withColumn("cluster_id", F.col("cluster_id") + 1))
-    mapping = links.filter(F.col("cluster_id") % 6 == 0).select(
+    return links.unionByName(links.filter(F.col("news_id") % 8 == 0).withColumn("cluster_id", F.col("cluster_id") + 1))
+
+
+def merge_mapping(desk: Desk) -> DataFrame:
+    return desk.cluster_items.filter(F.col("cluster_id") % 6 == 0).select(
         F.col("cluster_id").alias("source_id"), (F.col("cluster_id") + 1).alias("target_id")).distinct()
-    return clustering.merge_clusters(doubled, mapping)
 
 
-@query("e15_split_clusters", """
-SELECT CASE WHEN news_id % 4 = 3 OR cluster_id % 9 = 0 THEN cluster_id + 1000000 ELSE cluster_id END AS cluster_id, news_id FROM cluster_items""")
+MERGE_SQL = """
+links AS (SELECT cluster_id, news_id FROM cluster_items UNION ALL SELECT cluster_id + 1, news_id FROM cluster_items WHERE news_id % 8 = 0),
+m AS (SELECT DISTINCT cluster_id AS source_id, cluster_id + 1 AS target_id FROM cluster_items WHERE cluster_id % 6 = 0),
+r AS (SELECT coalesce(m.target_id, l.cluster_id) AS cluster_id, l.news_id, m.target_id IS NOT NULL AS moved, l.cluster_id AS was_in FROM links l LEFT JOIN m ON m.source_id = l.cluster_id),
+after AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY cluster_id, news_id ORDER BY moved, was_in) = 1)"""
+
+
+@query("e14_merge_clusters", f"WITH {MERGE_SQL} SELECT * FROM after")
+def e14(desk: Desk) -> DataFrame:
+    return clustering.merge_clusters(doubled_links(desk), merge_mapping(desk))
+
+
+CHANGED_SQL = f"""
+syms AS (SELECT cluster_id, unnest(list_distinct(affected_tickers || affected_entities)) AS symbol FROM clusters), {TIERS},
+sums AS (SELECT a.cluster_id, arg_max(n.title, (n.eff, n.news_id)) AS headline, CAST(count(*) AS INT) AS n,
+   CAST(count(*) FILTER (n.source_score >= 75) AS INT) AS hq, max(n.source_score) AS top
+  FROM after a JOIN news n USING (news_id) WHERE a.cluster_id IN (SELECT cluster_id FROM touched) GROUP BY 1),
+inp AS (SELECT s.*, t.tier, coalesce(c.status, 'reported') AS status, CAST(NULL AS INT) AS move, FALSE AS dup, coalesce(c.status = 'stale', FALSE) AS stale
+  FROM sums s LEFT JOIN clusters c USING (cluster_id) LEFT JOIN ctiers t USING (cluster_id)), {score_sql('inp')},
+fresh AS (SELECT cluster_id, headline, n AS source_count, hq AS hq_source_count, top AS top_source_score, tier, status, score AS final_score,
+  {decision_sql('score')} AS alert_level FROM scored)"""
+
+
+@query("e14_merged_events", f"""
+WITH {MERGE_SQL}, touched AS (SELECT target_id AS cluster_id FROM m), {CHANGED_SQL}
+SELECT * FROM fresh UNION ALL SELECT cluster_id, headline, source_count, hq_source_count, top_source_score, NULL, 'merged', final_score, alert_level
+FROM clusters WHERE cluster_id IN (SELECT source_id FROM m)""")
+def e14_events(desk: Desk) -> DataFrame:
+    return clustering.merged_events(doubled_links(desk), merge_mapping(desk), desk.clusters, desk.news, desk.watchlist)
+
+
+SPLIT_SQL = """
+after AS (SELECT CASE WHEN news_id % 4 = 3 OR cluster_id % 9 = 0 THEN cluster_id + 1000000 ELSE cluster_id END AS cluster_id, news_id FROM cluster_items)"""
+
+
+def split_selection(desk: Desk) -> DataFrame:
+    return desk.cluster_items.filter((F.col("news_id") % 4 == 3) | (F.col("cluster_id") % 9 == 0)).select(
+        "cluster_id", "news_id", (F.col("cluster_id") + 1000000).alias("new_id"))
+
+
+@query("e15_split_clusters", f"WITH {SPLIT_SQL} SELECT * FROM after")
 def e15(desk: Desk) -> DataFrame:
-    links = desk.cluster_items.select("cluster_id", "news_id")
-    chosen = links.filter((F.col("news_id") % 4 == 3) | (F.col("cluster_id") % 9 == 0)).withColumn("new_id", F.col("cluster_id") + 1000000)
-    return clustering.split_clusters(links, chosen)
+    return clustering.split_clusters(desk.cluster_items.select("cluster_id", "news_id"), split_selection(desk))
+
+
+@query("e15_split_events", f"""
+WITH {SPLIT_SQL}, chosen AS (SELECT DISTINCT cluster_id FROM cluster_items WHERE news_id % 4 = 3 OR cluster_id % 9 = 0),
+touched AS (SELECT cluster_id FROM chosen UNION SELECT cluster_id + 1000000 FROM chosen), {CHANGED_SQL}
+SELECT * FROM fresh UNION ALL SELECT cluster_id, headline, 0, hq_source_count, 0, NULL, 'stale', 0, NULL
+FROM clusters WHERE cluster_id IN (SELECT cluster_id FROM chosen) AND cluster_id NOT IN (SELECT cluster_id FROM after)""")
+def e15_events(desk: Desk) -> DataFrame:
+    return clustering.split_events(desk.cluster_items.select("cluster_id", "news_id"), split_selection(desk), desk.clusters, desk.news, desk.watchlist)
 
 
 @query("e15_emptied_clusters", "SELECT DISTINCT cluster_id FROM cluster_items WHERE cluster_id % 9 = 0")
