@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -106,18 +108,30 @@ def invalid_vectors(vectors: DataFrame, dims: int) -> DataFrame:
         F.count_if(size == 0).alias("empty"), F.count_if((size > 0) & (size != dims)).alias("wrong_dims"))
 
 
+def in_space(vectors: DataFrame, space: Mapping[str, str | int] | None) -> DataFrame:
+    """Vectors whose columns (provider, model, version, dims) equal those of ``space``; only these can be compared."""
+    for column, value in (space or {}).items():
+        vectors = vectors.filter(F.col(column) == value)
+    return vectors
+
+
 def cluster_candidates(items: DataFrame, cluster_vectors: DataFrame, clusters: DataFrame, since: Column,
-                       k: int = CANDIDATES) -> DataFrame:
-    """Nearest recently updated clusters per item: ``(news_id, cluster_id, similarity, rank)``."""
+                       k: int = CANDIDATES, space: Mapping[str, str | int] | None = None) -> DataFrame:
+    """Nearest recently updated clusters per item: ``(news_id, cluster_id, similarity, rank)``.
+
+    Without ``space`` all vectors must come from one model.
+    """
+    items, cluster_vectors = in_space(items, space), in_space(cluster_vectors, space)
     live = cluster_vectors.join(clusters.filter(F.col("last_updated_at") >= since).select("cluster_id"), "cluster_id", "left_semi")
     found = nearest(items, "news_id", "vector", live, "cluster_id", "vector", k)
     return found.select(F.col("query").alias("news_id"), F.col("neighbour").alias("cluster_id"),
                         F.col("cosine").alias("similarity"), "rank")
 
 
-def item_neighbours(vectors: DataFrame, attach_min: float = ATTACH_MIN) -> DataFrame:
+def item_neighbours(vectors: DataFrame, attach_min: float = ATTACH_MIN,
+                    space: Mapping[str, str | int] | None = None) -> DataFrame:
     """Edges between items with nearly the same vector; copies form stars on their smallest id."""
-    return similar_pairs(vectors, "news_id", "vector", max(attach_min, NEIGHBOUR_FLOOR))
+    return similar_pairs(in_space(vectors, space), "news_id", "vector", max(attach_min, NEIGHBOUR_FLOOR))
 
 
 def plausible_context(region: Column, classes: Column, cluster_regions: Column, cluster_classes: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.operators import embedding
@@ -107,6 +107,25 @@ def d5(desk: Desk) -> DataFrame:
     return nearest_clusters(desk).withColumn("similarity", F.round("similarity", 6))
 
 
+def other_model(vectors: DataFrame, foreign: Column) -> DataFrame:
+    """The vectors, some of them as a second model would give them: shorter."""
+    return vectors.withColumn("model", F.when(foreign, "m0").otherwise(F.col("model"))).withColumn(
+        "vector", F.when(foreign, F.slice("vector", 1, 8)).otherwise(F.col("vector"))).withColumn("dims", F.size("vector"))
+
+
+IN_SPACE_SQL = NEAREST_SQL.replace(
+    "FROM news_vectors n CROSS JOIN cluster_vectors c",
+    "FROM (SELECT * FROM news_vectors WHERE news_id % 4 <> 0) n CROSS JOIN (SELECT * FROM cluster_vectors WHERE cluster_id % 3 <> 0) c")
+
+
+@query("d5_nearest_in_space", f"WITH {IN_SPACE_SQL} SELECT news_id, cluster_id, rank, round(similarity, 6) AS similarity FROM near")
+def d5_space(desk: Desk) -> DataFrame:
+    found = embedding.cluster_candidates(
+        other_model(desk.news_vectors, F.col("news_id") % 4 == 0), other_model(desk.cluster_vectors, F.col("cluster_id") % 3 == 0),
+        desk.clusters, wall(SINCE), space={"provider": "local", "model": "m1"})
+    return found.withColumn("similarity", F.round("similarity", 6))
+
+
 PAIRS_SQL = f"""
 pairs AS (SELECT a.news_id AS src, b.news_id AS dst, list_cosine_similarity(a.v, b.v) AS cosine FROM news_vectors a JOIN news_vectors b
    ON a.news_id < b.news_id AND list_cosine_similarity(a.v, b.v) >= {PAIR})"""
