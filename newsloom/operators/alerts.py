@@ -111,7 +111,12 @@ def suppression(events: DataFrame, rules: DataFrame, now: Column) -> DataFrame:
 
     hours = parsed.filter((F.col("rule_type") == "cooldown") & (F.col("c.hours") > 0)).groupBy(
         F.col("c.hours").alias("hours")).agg(F.min(age).alias("a"))
-    staircase = hours.agg(F.collect_list(F.struct("a.created_at", "a.rule_id", "hours")).alias("rules"))
+    def turn(r: Column) -> Column:
+        return F.struct(r["created_at"].alias("at"), r["rule_id"].alias("id"))
+
+    # one row per number of hours at most; a rule that an older, longer one covers never fires first
+    staircase = hours.agg(F.collect_list(F.struct("a.created_at", "a.rule_id", "hours")).alias("rules")).select(
+        F.filter("rules", lambda r: ~F.exists("rules", lambda o: (o["hours"] > r["hours"]) & (turn(o) < turn(r)))).alias("rules"))
 
     def first_cooldown(array: Column) -> Column:
         holds = F.filter(array, lambda r: now - interval_hours(r["hours"]) <= F.col("last_alerted_at"))
