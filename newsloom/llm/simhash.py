@@ -8,9 +8,11 @@ every pair within the radius meets in some bucket, with certainty.
 
 Equal fingerprints are folded before that. Buckets are compared inside a task; a bucket of more than ``BUCKET``
 different fingerprints is not compared but dealt anew by a covering of the bits it does not fix yet, as often as
-needed: each time about half of the free bits are fixed, and once four or fewer are free all its rows link. So no
-bucket is capped and no task holds more than ``BUCKET`` fingerprints at once. Tasks return a spanning forest of the
-links they verify, not the pairs.
+needed. Down to 16 free bits that is the same covering; fewer are cut into five parts, each of them one mask, as four
+differing bits leave a part untouched. Every mask fixes at least one more bit, and a bucket never holds a fingerprint
+twice, so dealing ends before four bits are free: these have 16 values, and the limit is never below that. So no bucket
+is capped and no task holds more than ``BUCKET`` fingerprints at once. Tasks return a spanning forest of the links they
+verify, not the pairs.
 
 Null text: as empty; no words: fingerprint zero, linked like any other. Rows that repeat an id or a text share their
 result. A row without id has a fingerprint, takes no part in linking and gets a null component. Empty table: empty
@@ -61,9 +63,14 @@ def fingerprint(text: str | None) -> int:
 
 
 def covering_masks(free: int = FULL, radius: int = RADIUS) -> list[int]:
-    """Masks within the ``free`` bits such that any ``radius`` of these bits are all outside one of the masks."""
+    """Masks within the ``free`` bits such that any ``radius`` of these bits are all outside one of the masks.
+
+    No mask is zero while more than ``radius`` bits are free.
+    """
     places = [i for i in range(64) if free >> i & 1]
     codes = (1 << radius + 1) - 1
+    if len(places) < 1 << radius:  # their codes would be orthogonal to the highest vector
+        return [sum(1 << place for place in places[part::radius + 1]) for part in range(radius + 1)]
     masks = []
     for v in range(1, codes + 1):
         masks.append(sum(1 << place for k, place in enumerate(places) if (v & 1 + k % codes).bit_count() % 2))
@@ -85,13 +92,13 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     return docs.select(id_column, text_column).mapInArrow(run, f"id {type_of(docs, id_column)}, fp bigint")
 
 
-def _link_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _link_buckets(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
     """(fixed, key, fp, node) sorted by bucket to edges (null, node, node), or to rows (fixed, fp, node) to deal anew.
 
-    A bucket with four or fewer free bits has at most sixteen fingerprints, so dealing anew comes to an end.
+    A bucket above ``limit`` (16 or more) has at least five free bits, so each of its masks fixes one of them.
     """
     names = ["fixed", "a", "b"]
-    for rows, starts, part in sorted_runs(batches, 2, BUCKET):
+    for rows, starts, part in sorted_runs(batches, 2, limit):
         if part:
             fixed = int(rows[0, 0]) & FULL
             for mask in covering_masks(FULL & ~fixed):
@@ -112,16 +119,26 @@ def _link_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([pa.nulls(len(edges), pa.int64()), pa.array(edges[:, 0]), pa.array(edges[:, 1])], names=names)
 
 
-def near_edges(nodes: DataFrame) -> DataFrame:
-    """``(fp, node)`` with one row per fingerprint to edges ``(src, dst)`` that connect all pairs within the radius."""
+def near_edges(nodes: DataFrame, bucket: int | None = None) -> DataFrame:
+    """``(fp, node)`` with one row per fingerprint to edges ``(src, dst)`` that connect all pairs within the radius.
+
+    Buckets of more than ``bucket`` fingerprints (``BUCKET`` if not given) are dealt anew.
+    """
+    limit = max(BUCKET if bucket is None else bucket, 1 << RADIUS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _link_buckets(batches, limit)  # an argument, as a worker imports the module afresh
+
     masks = F.array(*[F.lit(_signed(m)).cast("long") for m in covering_masks()])
     level = nodes.select(F.explode(masks).alias("fixed"), "fp", "node")
     found = None
     while True:
         key = F.col("fp").bitwiseAND(F.col("fixed")).alias("key")
+        dealt = level.select("fixed", key, "fp", "node").repartition("fixed", "key")
+        if found is not None:  # two buckets may come to fix the same bits by different masks
+            dealt = dealt.dropDuplicates(["fixed", "key", "fp"])
         out = cut_lineage(
-            level.select("fixed", key, "fp", "node").repartition("fixed", "key")
-            .sortWithinPartitions("fixed", "key").mapInArrow(_link_buckets, "fixed bigint, a bigint, b bigint"))
+            dealt.sortWithinPartitions("fixed", "key").mapInArrow(run, "fixed bigint, a bigint, b bigint"))
         edges = out.filter("fixed IS NULL").select(F.col("a").alias("src"), F.col("b").alias("dst"))
         found = edges if found is None else found.unionByName(edges)
         level = out.filter("fixed IS NOT NULL").select("fixed", F.col("a").alias("fp"), F.col("b").alias("node"))

@@ -215,6 +215,35 @@ def test_simhash_links_equal_brute_force(spark, monkeypatch, bucket):
     assert components(fps.values(), got) == components(fps.values(), linked)
 
 
+@pytest.mark.parametrize("bits", [*range(5, 17), 23, 31, 32])
+def test_masks_of_few_free_bits_all_fix_a_bit(bits):
+    places = random.Random(bits).sample(range(64), bits)
+    masks = simhash.covering_masks(sum(1 << b for b in places))
+    assert all(masks)
+    for four in itertools.combinations(places, 4):
+        at = sum(1 << b for b in four)
+        assert any(not m & at for m in masks)
+
+
+@pytest.mark.parametrize(("bits", "count", "bucket"), [(15, 250, 16), (12, 3900, None)])
+def test_simhash_deals_dense_buckets_to_an_end(spark, bits, count, bucket):
+    assert all(simhash.covering_masks((1 << bits) - 1))  # or near_edges would never return
+    r = random.Random(bits)
+    high = r.getrandbits(63 - bits) << bits
+    fps = [high | low for low in r.sample(range(1 << bits), count)] + [high ^ 0x3F << 40]
+    nodes = spark.createDataFrame([(simhash._signed(x), k) for k, x in enumerate(fps)], "fp long, node long")
+    got = {(x["src"], x["dst"]) for x in simhash.near_edges(nodes, bucket).distinct().collect()}
+    x = np.array(fps, dtype=np.uint64)
+    near = np.bitwise_count(x[:, None] ^ x[None, :]) <= 4
+    group, whole = np.zeros(len(x), dtype=bool), 0
+    group[0] = True
+    while group.sum() > whole:
+        whole = group.sum()
+        group = near[group].any(axis=0)
+    assert not group[-1] and not near[-1, :-1].any() and whole == count  # all near but the last
+    assert set(components(range(len(x)), got).values()) == {0, count}
+
+
 def test_simhash_groups(spark):
     rows = [*sample_rows(), *ODD, (2000, "ONE two", "a"), (2001, "one TWO", "a")]
     got = simhash.near_groups(documents(spark, rows)).collect()
