@@ -116,6 +116,42 @@ def test_greedy_drafts_equal_the_sequential_model(spark):
         assert got == greedy_model(rows)
 
 
+def regroup(spark, candidates, **more):
+    none = spark.createDataFrame([], "cluster_id long, news_id long, src long, dst long, last_updated_at int")
+    return clustering.recluster(candidates, none.select("src", "dst"), none.select("cluster_id", "news_id"),
+                                none.select("cluster_id", "last_updated_at"), **more)
+
+
+def test_recluster_places_the_whole_window_in_one_pass(spark):
+    parted = 0
+    for seed in range(2):
+        rows, candidates = make_candidates(spark, 60, seed)
+        whole = [(*r[:2], 0, *r[3:]) for r in rows]
+        drafts = {}
+        for news, draft in greedy_model(whole).items():
+            drafts.setdefault(draft, set()).add(news)
+        got = {}
+        for r in regroup(spark, candidates)["links"].collect():
+            got.setdefault(r["cluster_id"], set()).add(r["news_id"])
+        assert sorted(map(sorted, got.values())) == sorted(map(sorted, drafts.values()))
+        parted += greedy_model(rows) != greedy_model(whole)
+    assert parted
+
+
+def test_blocks_hold_all_that_can_meet(spark):
+    names = ["news_id", "seq", "tick", "title", "entities", "tickers", "region", "asset_classes", "source_score", "watch_tier"]
+    base = [(1, "quiet harbour opens", ["Acme"], []), (2, "quiet harbour closes", ["Globex"], []), (3, "closes early", ["globex"], ["T1"]),
+            (4, "opens early today", [], ["t1"]), (5, "quiet opens nowhere", ["Initech"], []), (6, "other words", [], []), (7, "harbour", ["markets"], []),
+            (8, "market words", ["markets"], [])]
+    rows = [(i, i, i, t, e, k, "us", ["equity"], 50, "A") for i, t, e, k in base]
+    schema = ", ".join(f"{n} {t}" for n, t in zip(names, ["long"] * 3 + ["string", "array<string>", "array<string>", "string", "array<string>", "int", "string"], strict=True))
+    df = spark.createDataFrame(rows, schema)
+    candidates = clustering.with_match_sets(df.withColumn("primary_entities", F.col("entities")).withColumn("primary_tickers", F.col("tickers")))
+    verdicts = spark.createDataFrame([(8, 7)], "news_id long, seed_id long")
+    got = {r["news_id"]: r["tick"] for r in clustering.whole_window(candidates, verdicts).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 6: 6, 7: 7, 8: 7}
+
+
 def test_pair_verdicts_equal_the_ladder(spark):
     rows, candidates = make_candidates(spark, 40, 9)
     got = clustering.classify_pairs(clustering.candidate_pairs(candidates), candidates).collect()
