@@ -198,7 +198,12 @@ def reclustered(desk: Desk) -> dict[str, DataFrame]:
     links = desk.cluster_items.join(live.select("cluster_id"), "cluster_id", "left_semi")
     rows = candidates(desk, newest_first=False).join(links.select("news_id"), "news_id", "left_semi")
     edges = embedding.item_neighbours(desk.news_vectors)
-    return clustering.recluster(rows, edges, links, live)
+    return clustering.recluster(rows, edges, links, live, vectors=desk.news_vectors, guard_verdicts=guard_verdicts(rows))
+
+
+def guard_verdicts(rows: DataFrame) -> DataFrame:
+    """A stand-in for the arbiter: it may reject every second item, whatever draft it is in."""
+    return rows.filter(F.col("news_id") % 2 == 0).select("news_id", F.lit("reject").alias("verdict"))
 
 
 @query("e12_recluster_links")
@@ -219,10 +224,19 @@ gray AS (SELECT news_id, cluster_id, similarity, 'llm' AS decision_source FROM j
 attached AS (SELECT * FROM sure UNION ALL SELECT * FROM gray)"""
 
 
+def attach_verdicts(rows: DataFrame) -> DataFrame:
+    return rows.select("news_id", "cluster_id", F.when((F.col("news_id") + F.col("cluster_id")) % 2 == 0, "attach").otherwise("reject").alias("verdict"))
+
+
 def attached(desk: Desk) -> DataFrame:
     rows = judged(desk)
-    verdicts = rows.select("news_id", "cluster_id", F.when((F.col("news_id") + F.col("cluster_id")) % 2 == 0, "attach").otherwise("reject").alias("verdict"))
-    return clustering.attach_items(rows, verdicts)
+    return clustering.attach_items(rows, attach_verdicts(rows))
+
+
+@query("e13_new_events")
+def e13_new(desk: Desk) -> DataFrame:
+    rows, pending = cut_lineage(judged(desk)), candidates(desk)
+    return clustering.build_events(rows, pending, attach_verdicts(rows), vectors=desk.news_vectors, guard_verdicts=guard_verdicts(pending))["links"]
 
 
 @query("e13_attach_items", f"WITH {ATTACH_SQL} SELECT news_id, cluster_id, round(similarity, 6) AS similarity, decision_source FROM attached")

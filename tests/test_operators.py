@@ -138,6 +138,34 @@ def test_recluster_places_the_whole_window_in_one_pass(spark):
     assert parted
 
 
+def test_recluster_and_build_split_rejected_outliers_and_place_what_does_not_attach(spark):
+    rows, candidates = make_candidates(spark, 60, 1)
+    plain = regroup(spark, candidates)["links"].collect()
+    of = {}
+    for r in plain:
+        of.setdefault(r["cluster_id"], []).append(r)
+    far = next(r["news_id"] for c in of.values() if len(c) >= 4 for r in c if r["reason"] in clustering.WEAK_REASONS)
+    vectors = spark.createDataFrame([(r[0], [0.0, 1.0] if r[0] == far else [1.0, 0.0]) for r in rows], "news_id long, vector array<double>")
+    for said in ("reject", "attach"):
+        verdicts = spark.createDataFrame([(r[0], said) for r in rows], "news_id long, verdict string")
+        got = {r["news_id"]: r for r in regroup(spark, candidates, vectors=vectors, guard_verdicts=verdicts)["links"].collect()}
+        assert len(got) == len(rows)
+        for r in plain:
+            if said == "reject" and r["news_id"] == far:
+                assert (got[far]["cluster_id"], got[far]["decision_source"], got[far]["reason"]) == (-far - 1, "coherence_guard", "embedding_outlier")
+            else:
+                assert got[r["news_id"]] == r
+    judged = spark.createDataFrame([(i, 900, 1, 0.9, i % 3 == 0, i % 3 == 1) for i in range(20)],
+                                   "news_id long, cluster_id long, rank int, similarity double, is_attachable boolean, is_gray boolean")
+    ruled = judged.select("news_id", "cluster_id", F.when(F.col("news_id") < 10, "attach").otherwise("reject").alias("verdict"))
+    made = clustering.build_events(judged, candidates, ruled)
+    attached = {r["news_id"] for r in made["attached"].collect()}
+    assert attached == {i for i in range(20) if i % 3 == 0 or i % 3 == 1 and i < 10}
+    want = greedy_model([r for r in rows if r[0] not in attached])
+    assert {r["news_id"]: -r["cluster_id"] - 1 for r in made["links"].collect()} == want
+    assert {r["draft_id"] for r in made["drafts"].collect()} == set(want.values())
+
+
 def test_blocks_hold_all_that_can_meet(spark):
     names = ["news_id", "seq", "tick", "title", "entities", "tickers", "region", "asset_classes", "source_score", "watch_tier"]
     base = [(1, "quiet harbour opens", ["Acme"], []), (2, "quiet harbour closes", ["Globex"], []), (3, "closes early", ["globex"], ["T1"]),
