@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from newsloom.functions import scoring, text
+from newsloom.plans.components import join_hot
 from newsloom.plans.intervals import interval
-from newsloom.plans.keys import top_per_key
+from newsloom.plans.keys import heavy_groups, top_per_key
 from newsloom.plans.lineage import cut_lineage
 
 # Fixed values of the alert and investigation rules.
@@ -229,27 +230,78 @@ def context_terms(*parts: Column) -> Column:
     return F.array_except(F.array_distinct(F.transform(words, lambda w: F.lower(w))), text.literals(EVIDENCE_STOPWORDS))
 
 
-def local_evidence(targets: DataFrame, news: DataFrame, since: Column, limit: int = 10) -> DataFrame:
-    """The newest ``limit`` news rows rated against every target.
+def _grams(value: Column) -> Column:
+    """Distinct stretches of one to three characters; a long value is cut first, as finding a character takes the way to it."""
+    size = F.greatest(F.length(value), F.lit(1))
+    parts = F.transform(F.sequence(F.lit(1), size, F.lit(62)), lambda k: F.substring(value, k, F.lit(64)))
 
-    ``targets`` has ``target_id, symbols, entities, context``. The handful of news rows is one
-    bounded array read as a subquery, so every target is rated in a single pass without a join.
+    def of(part: Column) -> Column:
+        return F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.length(part), F.lit(1))),
+                                     lambda k: F.array(*[F.substring(part, k, F.lit(n)) for n in (1, 2, 3)])))
+
+    return F.array_distinct(F.flatten(F.transform(parts, of)))
+
+
+def term_hits(terms: DataFrame, bodies: DataFrame, row_id: str = "news_id") -> DataFrame:
+    """``(term, row_id)`` of the rows whose ``body`` contains the term, also inside a word.
+
+    Terms never meet texts, but the words of all texts, each once. A term's longest piece without blanks lies inside a word;
+    piece and word meet on the piece's rarest stretch of at most three characters, and the word leads to its rows.
+    Terms with blanks are confirmed against the body.
     """
-    newest = news.filter(F.col("created_at") >= since).orderBy(F.col("created_at").desc(), F.col("news_id")).limit(limit)
-    body = F.lower(F.concat(F.col("title"), F.lit(" "), F.coalesce("snippet", F.lit(""))))
-    rows = newest.agg(F.collect_list(F.struct("news_id", "source_score", body.alias("body"))).alias("n")).scalar()
-    pairs = targets.select("*", F.explode(rows).alias("n"))
-
-    def found(values: Column) -> Column:
-        return F.size(F.filter(values, lambda v: F.contains(F.col("n.body"), F.lower(v))))
-
-    base = F.least(F.lit(10), F.greatest(F.lit(0), F.floor(F.coalesce("n.source_score", F.lit(0)) / 10)))
-    score = base + found(F.col("symbols")) * 20 + found(F.col("entities")) * 25 + F.least(
-        F.lit(30), found(F.col("context")) * 5)
-    need = F.when((F.size("context") > 0) | (F.size("entities") > 0), 30).otherwise(20)
-    any_term = F.size("symbols") + F.size("entities") + F.size("context") > 0
-    return pairs.withColumn("relevance_score", score.cast("int")).filter(
-        any_term & (F.col("relevance_score") >= need)).select("target_id", "n.news_id", "relevance_score")
+    def words_of(c: Column) -> Column:
+        return F.array_distinct(F.filter(F.split(c, r"\s+"), lambda w: w != ""))
+
+    postings = cut_lineage(bodies.select(row_id, F.explode(words_of(F.col("body"))).alias("word")))
+    pieces = terms.select("term").distinct().withColumn("piece", F.array_max(F.transform(
+        words_of(F.col("term")), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]).filter(F.col("piece").isNotNull())
+    own = pieces.select("term", "piece", F.explode(F.filter(_grams(F.col("piece")), lambda g: F.length(g) == F.least(F.lit(3), F.length("piece")))).alias("gram"))
+    own = cut_lineage(own)
+    grams = cut_lineage(postings.select("word").distinct().select("word", F.explode(_grams(F.col("word"))).alias("gram")).join(
+        own.select("gram").distinct(), "gram", "left_semi"))
+    rarity = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("words"))
+    anchored = top_per_key(own.join(rarity, "gram"), ["term"], (F.col("words"), F.col("gram"))).select("term", "piece", "gram")
+    inside = anchored.join(grams, "gram").filter(F.contains("word", F.col("piece"))).select("term", "word")
+    # the terms inside a word are no more than its stretches, so one row per word holds them
+    per_word = cut_lineage(inside.groupBy("word").agg(F.collect_set("term").alias("terms")))
+    hits = join_hot(postings, per_word, "word").filter(F.col("terms").isNotNull()).select(row_id, F.explode("terms").alias("term")).distinct()
+    blank = F.col("term").rlike(r"\s")
+    confirmed = hits.filter(blank).join(bodies.select(row_id, "body"), row_id).filter(F.contains("body", F.col("term")))
+    return hits.filter(~blank).select("term", row_id).unionByName(confirmed.select("term", row_id))
+
+
+def local_evidence(targets: DataFrame, news: DataFrame, since: Column, limit: int | None = 10) -> DataFrame:
+    """News rows since ``since`` that are relevant to a target, the newest ``limit`` of each target (all with None).
+
+    ``targets`` has ``target_id, symbols, entities, context``. A term counts where it occurs in title or snippet, case
+    folded; blank terms are ignored. All rows since then are rated, and only rows that hold a term of the target meet it.
+    """
+    rows = cut_lineage(news.filter(F.col("created_at") >= since).select(
+        "news_id", "created_at", F.least(F.lit(10), F.greatest(F.lit(0), F.floor(F.coalesce("source_score", F.lit(0)) / 10))).alias("base"),
+        F.lower(F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("snippet", F.lit("")))).alias("body")))
+    empty = F.array().cast("array<string>")
+    kinds = {"symbols": 20, "entities": 25, "context": 5}
+
+    def terms_of(kind: str) -> Column:
+        return F.transform(F.coalesce(kind, empty), lambda v: F.struct(F.lit(kind).alias("kind"), F.lower(v).alias("term")))
+
+    tagged = F.concat(*[terms_of(c) for c in kinds])
+    need = F.when((F.size(F.coalesce("context", empty)) > 0) | (F.size(F.coalesce("entities", empty)) > 0), 30).otherwise(20)
+    terms = targets.select("target_id", need.alias("need"), F.explode(tagged).alias("t")).select("target_id", "need", "t.*").filter(F.trim("term") != "")
+    terms = cut_lineage(terms.groupBy("target_id", "need", "term").pivot("kind", list(kinds)).count())
+    hits = cut_lineage(term_hits(terms, rows))
+    # a term that many rows hold is salted by its share; the targets that look for it are repeated as often
+    heavy = F.broadcast(cut_lineage(heavy_groups(hits, ["term"])))
+    salts = F.coalesce("salts", F.lit(1))
+    dealt = hits.join(heavy, "term", "left").withColumn("salt", F.pmod(F.xxhash64("news_id"), salts).cast("int")).drop("rows", "salts")
+    wanted = terms.join(heavy, "term", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("rows", "salts")
+    found = dealt.join(wanted, ["term", "salt"]).groupBy("target_id", "news_id", "need").agg(*[F.sum(F.coalesce(c, F.lit(0))).alias(c) for c in kinds])
+    rated = found.join(rows.select("news_id", "created_at", "base"), "news_id")
+    score = F.col("base") + F.col("symbols") * kinds["symbols"] + F.col("entities") * kinds["entities"] + F.least(F.lit(30), F.col("context") * kinds["context"])
+    rated = rated.withColumn("relevance_score", score.cast("int")).filter(F.col("relevance_score") >= F.col("need"))
+    if limit is not None:
+        rated = top_per_key(rated, ["target_id"], (F.col("created_at").desc(), F.col("news_id")), limit)
+    return rated.select("target_id", "news_id", "relevance_score")
 
 
 def domain_class(host: Column, official: Sequence[str] = OFFICIAL_DOMAINS,

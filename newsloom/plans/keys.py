@@ -89,6 +89,18 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(tasks, *keys)
 
 
+def heavy_groups(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Groups with more than one partition's share of the rows: the keys, ``rows`` and the number of ``salts`` that evens them.
+
+    There are fewer such groups than partitions, which bounds a broadcast of them.
+    """
+    spark = df.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))
+    share = df.count() / parts
+    return counts.filter(F.col("rows") > share).withColumn("salts", F.ceil(F.col("rows") / max(share, 1)).cast("int"))
+
+
 def split_hot_group(group_size: Column, block_rows: int) -> Column:
     """How many blocks a group of this size is cut into."""
     return F.greatest(F.lit(1), F.ceil(group_size / F.lit(block_rows))).cast("int")

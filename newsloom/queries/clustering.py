@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.functions import text
-from newsloom.operators import clustering, embedding, entities, retention
+from newsloom.operators import clustering, embedding, entities, retention, same_event
 from newsloom.plans.components import connected_components
+from newsloom.plans.keys import number_rows
 from newsloom.plans.lineage import cut_lineage
 from newsloom.plans.similarity import similar_pairs
 from newsloom.queries.base import query
@@ -32,35 +33,35 @@ def e1(desk: Desk) -> DataFrame:
 
 
 def candidates(desk: Desk, newest_first: bool = True) -> DataFrame:
-    """Item candidates with ticks and match sets."""
+    """Numbered item candidates with match sets."""
     sets = entities.item_candidates(desk.news, desk.news_entities, desk.watchlist)
     tiers = entities.tier_for(mention_terms(desk.news_entities), desk.watchlist, "news_id").withColumnRenamed("tier", "watch_tier")
-    at, key = F.col("effective_time"), F.col("news_id")
+    at, key = F.col("at"), F.col("news_id")
     order = (at.desc(), key.desc()) if newest_first else (at, key)
     # only ids and times are numbered; the wide columns join the numbers afterwards
-    ticks = clustering.with_ticks(desk.news.select("news_id", desk.effective_time.alias("effective_time")), order)
+    numbered = number_rows(desk.news.select("news_id", desk.effective_time.alias("at")), order, "seq")
     rows = desk.news.select(
         "news_id", "title", "source_score", "region", F.array("asset_class").alias("asset_classes")).join(
-        ticks, "news_id").join(sets, "news_id").join(tiers, "news_id", "left")
-    return cut_lineage(clustering.with_match_sets(rows))
+        numbered, "news_id").join(sets, "news_id").join(tiers, "news_id", "left")
+    return cut_lineage(same_event.with_match_sets(rows))
 
 
 BLOCK_SQL = f"""{TOKENS_SQL},
-ticks AS (SELECT news_id, row_number() OVER (ORDER BY eff DESC, news_id DESC) AS seq,
-   (row_number() OVER (ORDER BY eff DESC, news_id DESC) - 1) // 500 AS tick FROM news),
 sym AS (SELECT e.news_id, lower(e.name) AS ent, lower(e.ticker) AS tic, lower(w.symbol) AS sy FROM news_entities e
    LEFT JOIN watchlist w ON w.enabled AND lower(w.name) = lower(e.name)),
 keyed AS (SELECT DISTINCT news_id, key, strong FROM (
-   SELECT news_id, ent AS key, TRUE AS strong FROM sym UNION ALL SELECT news_id, tic, TRUE FROM sym WHERE tic IS NOT NULL
+   SELECT news_id, ent AS key, TRUE AS strong FROM sym WHERE NOT list_contains({sql_list(text.PUBLISHER_ENTITIES + text.BROAD_ENTITIES)}, ent)
+   UNION ALL SELECT news_id, tic, TRUE FROM sym WHERE tic IS NOT NULL
    UNION ALL SELECT news_id, sy, TRUE FROM sym WHERE sy IS NOT NULL UNION ALL SELECT news_id, unnest(toks), FALSE FROM tokens)),
-pairs AS (SELECT a.tick, a.news_id AS src, b.news_id AS dst FROM ticks a JOIN ticks b ON a.tick = b.tick AND a.seq < b.seq
-   JOIN keyed x ON x.news_id = a.news_id JOIN keyed y ON y.news_id = b.news_id AND y.key = x.key AND y.strong = x.strong
-   GROUP BY 1, 2, 3 HAVING bool_or(x.strong) OR count(*) >= 2)"""
+timed AS (SELECT k.*, n.eff FROM keyed k JOIN news n USING (news_id)),
+pairs AS (SELECT x.news_id AS src, y.news_id AS dst FROM timed x JOIN timed y ON y.key = x.key AND y.strong = x.strong
+   AND (y.eff < x.eff OR (y.eff = x.eff AND y.news_id < x.news_id)) AND x.eff - y.eff <= INTERVAL 7 DAY
+   GROUP BY 1, 2 HAVING bool_or(x.strong) OR count(*) >= 2)"""
 
 
 @query("e2_candidate_pairs", f"WITH {BLOCK_SQL} SELECT * FROM pairs")
 def e2(desk: Desk) -> DataFrame:
-    return clustering.candidate_pairs(candidates(desk))
+    return same_event.candidate_pairs(candidates(desk))
 
 
 @query("e2_candidate_components", f"""
@@ -69,12 +70,12 @@ walk(node, component) AS (SELECT src, src FROM (SELECT DISTINCT src FROM edges)
   SELECT e.dst, min(w.component) FROM walk w JOIN edges e ON e.src = w.node GROUP BY e.dst)
 SELECT node, min(component) AS component FROM walk GROUP BY 1""")
 def e2_components(desk: Desk) -> DataFrame:
-    return connected_components(clustering.candidate_pairs(candidates(desk)))
+    return connected_components(same_event.candidate_pairs(candidates(desk)))
 
 
 def classified(desk: Desk) -> DataFrame:
     rows = candidates(desk)
-    return clustering.classify_pairs(clustering.candidate_pairs(rows), rows)
+    return same_event.classify_pairs(same_event.candidate_pairs(rows), rows)
 
 
 @query("e3_title_similarity")
@@ -84,12 +85,45 @@ def e3(desk: Desk) -> DataFrame:
 
 @query("e4_same_event_pairs")
 def e4(desk: Desk) -> DataFrame:
-    return classified(desk).select("tick", "src", "dst", "shared_tokens", "shared_entities", "shared_tickers", "context", "kind", "reason")
+    return classified(desk).select("src", "dst", "shared_tokens", "shared_entities", "shared_tickers", "context", "kind", "reason")
+
+
+def ladder_sql(s: float) -> str:
+    """The rules of a pair at one similarity; between its thresholds they do not change."""
+    return f"""CASE WHEN shared_tickers > 0 AND context AND ({s} >= 0.55 OR ({s} >= 0.38 AND (shared_entities > 0 OR shared_tokens >= 2)))
+      THEN 'strong_same_event/ticker_overlap_with_title_support'
+    WHEN {s} >= 0.45 AND shared_tokens >= 2 AND shared_entities = 0 AND shared_tickers = 0 AND shared_tokens < 3 THEN 'ambiguous/title_topic_overlap_requires_arbitration'
+    WHEN {s} >= 0.45 AND shared_tokens >= 2 THEN 'strong_same_event/strong_title_topic_overlap'
+    WHEN context AND shared_entities > 0 AND ({s} >= 0.45 OR shared_tokens > 0) THEN 'strong_same_event/specific_entity_overlap_with_title_support'
+    WHEN context AND shared_entities > 0 THEN 'ambiguous/specific_entity_overlap_without_title_support'
+    WHEN context AND shared_broad > 0 THEN 'ambiguous/weak_entity_overlap_requires_arbitration' ELSE 'reject/insufficient_same_event_signal' END"""
+
+
+LEVELS = {"below_038": 0.0, "from_038": 0.38, "from_045": 0.45, "from_055": 0.55}
+
+
+@query("e4_rules_by_similarity", f"""
+WITH {BLOCK_SQL},
+names AS (SELECT news_id, list(DISTINCT ent) FILTER (NOT list_contains({sql_list(text.PUBLISHER_ENTITIES + text.BROAD_ENTITIES)}, ent)) AS specific,
+   list(DISTINCT ent) FILTER (list_contains({sql_list(text.BROAD_ENTITIES)}, ent)) AS broad FROM sym GROUP BY 1),
+codes AS (SELECT news_id, list(DISTINCT c) AS codes FROM (SELECT news_id, tic AS c FROM sym UNION ALL SELECT news_id, sy FROM sym) WHERE c IS NOT NULL GROUP BY 1),
+side AS (SELECT n.news_id, n.asset_class, n.region, t.toks, coalesce(s.specific, []) AS specific, coalesce(s.broad, []) AS broad, coalesce(c.codes, []) AS codes
+   FROM news n JOIN tokens t USING (news_id) LEFT JOIN names s USING (news_id) LEFT JOIN codes c USING (news_id)),
+signals AS (SELECT p.src, p.dst, CAST(len(list_intersect(a.toks, b.toks)) AS INT) AS shared_tokens, CAST(len(list_intersect(a.specific, b.specific)) AS INT) AS shared_entities,
+   CAST(len(list_intersect(a.codes, b.codes)) AS INT) AS shared_tickers, CAST(len(list_intersect(a.broad, b.broad)) AS INT) AS shared_broad,
+   (a.asset_class = b.asset_class AND a.asset_class <> 'global_macro') OR (a.region = b.region AND a.region <> 'global') AS context
+  FROM pairs p JOIN side a ON a.news_id = p.src JOIN side b ON b.news_id = p.dst)
+SELECT *, {", ".join(f"{ladder_sql(s)} AS {name}" for name, s in LEVELS.items())} FROM signals""")
+def e4_rules(desk: Desk) -> DataFrame:
+    """The signals of every pair, and what the rules say at each level of similarity."""
+    rows = candidates(desk)
+    signals = same_event.pair_signals(same_event.candidate_pairs(rows), rows).drop("title", "seed_title")
+    return signals.select("*", *[F.concat_ws("/", *same_event.ruled(F.lit(s))).alias(name) for name, s in LEVELS.items()])
 
 
 @query("e5_greedy_drafts")
 def e5(desk: Desk) -> DataFrame:
-    return clustering.greedy_drafts(candidates(desk))
+    return same_event.greedy_drafts(candidates(desk))
 
 
 @query("e6_cluster_summary", """
@@ -170,7 +204,8 @@ def audit_links(desk: Desk) -> DataFrame:
 WITH {AUDIT_SQL} SELECT cluster_id, news_id, best_neighbor_cosine, array_to_string(list_filter([CASE WHEN f1 THEN 'title_only_strong_join' END,
   CASE WHEN f2 THEN 'non_primary_overlap_join' END, CASE WHEN f3 THEN 'low_best_neighbor_cosine' END], lambda f: f IS NOT NULL), ',') AS flags FROM audited""")
 def e10_members(desk: Desk) -> DataFrame:
-    made = clustering.audit_members(audit_links(desk), desk.news_entities, desk.news_vectors)
+    links = audit_links(desk)
+    made = clustering.audit_members(links, desk.news_entities, clustering.member_cosines(links, desk.news_vectors))
     return made.withColumn("flags", F.array_join("flags", ","))
 
 
@@ -182,23 +217,47 @@ SELECT p.cluster_id, p.size AS member_count, round_even(p.cluster_max, 4) AS max
   lambda f: f IS NOT NULL), ',') AS flags FROM per p JOIN m USING (cluster_id)""")
 def e10_clusters(desk: Desk) -> DataFrame:
     links = audit_links(desk)
-    audited = clustering.audit_members(links, desk.news_entities, desk.news_vectors)
-    return clustering.audit_clusters(audited, links, desk.news_vectors).withColumn("flags", F.array_join("flags", ","))
+    rated = cut_lineage(clustering.member_cosines(links, desk.news_vectors))
+    audited = clustering.audit_members(links, desk.news_entities, rated)
+    return clustering.audit_clusters(audited, rated).withColumn("flags", F.array_join("flags", ","))
 
 
 @query("e11_identity_match")
 def e11(desk: Desk) -> DataFrame:
-    members = clustering.greedy_drafts(candidates(desk))
+    members = cut_lineage(same_event.greedy_drafts(candidates(desk)))
+    drafts = members.groupBy("draft_id").agg(F.count(F.lit(1)).alias("source_count"))
+    return clustering.match_identities(members, drafts, desk.cluster_items, desk.clusters)
+
+
+GROUPS_SQL = """
+members AS (SELECT news_id, CASE WHEN news_id % 5 = 0 THEN 100000 + news_id // 30 ELSE news_id // 6 END AS draft_id FROM news),
+sizes AS (SELECT draft_id, count(*) AS n FROM members GROUP BY 1)"""
+
+
+@query("e11_identity_of_groups", f"""
+WITH RECURSIVE {GROUPS_SQL},
+liked AS (SELECT m.draft_id, l.cluster_id, count(*) AS shared FROM members m JOIN cluster_items l USING (news_id) GROUP BY 1, 2),
+ordered AS (SELECT l.draft_id, list(l.cluster_id ORDER BY l.shared DESC, c.last_updated_at DESC, l.cluster_id) AS likes FROM liked l JOIN clusters c USING (cluster_id) GROUP BY 1),
+turns AS (SELECT s.draft_id, coalesce(o.likes, []) AS likes, row_number() OVER (ORDER BY s.n DESC, s.draft_id) AS k FROM sizes s LEFT JOIN ordered o USING (draft_id)),
+walk(k, draft_id, cluster_id, claimed) AS (SELECT CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST([] AS BIGINT[]) UNION ALL
+  SELECT t.k, t.draft_id, list_filter(t.likes, lambda c: NOT list_contains(w.claimed, c))[1], list_append(w.claimed, list_filter(t.likes, lambda c: NOT list_contains(w.claimed, c))[1])
+  FROM walk w JOIN turns t ON t.k = w.k + 1)
+SELECT draft_id, cluster_id FROM walk WHERE k > 0""")
+def e11_groups(desk: Desk) -> DataFrame:
+    """Identities of drafts that SQL can make too: runs of items, some of them dealt to larger groups."""
+    n = F.col("news_id")
+    members = cut_lineage(desk.news.select("news_id", F.when(n % 5 == 0, 100000 + F.floor(n / 30)).otherwise(F.floor(n / 6)).alias("draft_id")))
     drafts = members.groupBy("draft_id").agg(F.count(F.lit(1)).alias("source_count"))
     return clustering.match_identities(members, drafts, desk.cluster_items, desk.clusters)
 
 
 def reclustered(desk: Desk) -> dict[str, DataFrame]:
-    live = desk.clusters.filter(F.col("status") != "stale")
+    live = clustering.recluster_scope(desk.clusters)
     links = desk.cluster_items.join(live.select("cluster_id"), "cluster_id", "left_semi")
     rows = candidates(desk, newest_first=False).join(links.select("news_id"), "news_id", "left_semi")
     edges = embedding.item_neighbours(desk.news_vectors)
-    return clustering.recluster(rows, edges, links, live, vectors=desk.news_vectors, guard_verdicts=guard_verdicts(rows))
+    return clustering.recluster(rows, edges, links, live, vectors=desk.news_vectors, guard_verdicts=guard_verdicts(rows),
+                                cluster_vectors=desk.cluster_vectors)
 
 
 def guard_verdicts(rows: DataFrame) -> DataFrame:
@@ -233,10 +292,22 @@ def attached(desk: Desk) -> DataFrame:
     return clustering.attach_items(rows, attach_verdicts(rows))
 
 
+def built(desk: Desk) -> dict[str, DataFrame]:
+    rows, pending = cut_lineage(judged(desk)), candidates(desk)
+    return clustering.build_events(rows, pending, attach_verdicts(rows), vectors=desk.news_vectors, guard_verdicts=guard_verdicts(pending),
+                                   watchlist=desk.watchlist)
+
+
 @query("e13_new_events")
 def e13_new(desk: Desk) -> DataFrame:
-    rows, pending = cut_lineage(judged(desk)), candidates(desk)
-    return clustering.build_events(rows, pending, attach_verdicts(rows), vectors=desk.news_vectors, guard_verdicts=guard_verdicts(pending))["links"]
+    return built(desk)["links"]
+
+
+@query("e13_scored_events")
+def e13_scored(desk: Desk) -> DataFrame:
+    made = built(desk)["events"]
+    return made.select("cluster_id", "headline", *[F.array_join(c, ",").alias(c) for c in ("regions", "asset_classes", "affected_entities", "affected_tickers")],
+                       "source_count", "hq_source_count", "top_source_score", "tier", "final_score", "alert_level")
 
 
 @query("e13_attach_items", f"WITH {ATTACH_SQL} SELECT news_id, cluster_id, round(similarity, 6) AS similarity, decision_source FROM attached")
@@ -247,18 +318,22 @@ def e13(desk: Desk) -> DataFrame:
 @query("e13_attached_clusters", f"""
 WITH {ATTACH_SQL}, g AS (SELECT a.cluster_id, list(DISTINCT n.region) AS r, list(DISTINCT n.asset_class) AS ac, list(DISTINCT e.name) AS en, list(DISTINCT e.ticker) AS tk,
    count(DISTINCT n.news_id) AS k, count(DISTINCT n.news_id) FILTER (n.source_score >= 75) AS hq, max(n.source_score) AS top
-  FROM attached a JOIN news n USING (news_id) JOIN news_entities e ON e.news_id = n.news_id AND e.is_primary GROUP BY 1)
-SELECT c.cluster_id, array_to_string(list_sort(list_distinct(c.regions || g.r)), ',') AS regions, array_to_string(list_sort(list_distinct(c.asset_classes || g.ac)), ',') AS asset_classes,
-  array_to_string(list_sort(list_distinct(c.affected_entities || g.en)), ',') AS affected_entities, array_to_string(list_sort(list_distinct(c.affected_tickers || g.tk)), ',') AS affected_tickers,
-  CAST(c.source_count + g.k AS INT) AS source_count, CAST(c.hq_source_count + g.hq AS INT) AS hq_source_count, greatest(c.top_source_score, g.top) AS top_source_score
-FROM clusters c JOIN g USING (cluster_id)""")
+  FROM attached a JOIN news n USING (news_id) JOIN news_entities e ON e.news_id = n.news_id AND e.is_primary GROUP BY 1),
+grown AS (SELECT c.cluster_id, array_to_string(list_sort(list_distinct(c.regions || g.r)), ',') AS regions, array_to_string(list_sort(list_distinct(c.asset_classes || g.ac)), ',') AS asset_classes,
+  list_sort(list_distinct(c.affected_entities || g.en)) AS ents, list_sort(list_distinct(c.affected_tickers || g.tk)) AS ticks,
+  CAST(c.source_count + g.k AS INT) AS n, CAST(c.hq_source_count + g.hq AS INT) AS hq, greatest(c.top_source_score, g.top) AS top
+  FROM clusters c JOIN g USING (cluster_id)),
+syms AS (SELECT cluster_id, unnest(list_distinct(ticks || ents)) AS symbol FROM grown), {TIERS},
+inp AS (SELECT g.*, t.tier, 'reported' AS status, CAST(NULL AS INT) AS move, FALSE AS dup, FALSE AS stale FROM grown g LEFT JOIN ctiers t USING (cluster_id)), {score_sql('inp')}
+SELECT cluster_id, regions, asset_classes, array_to_string(ents, ',') AS affected_entities, array_to_string(ticks, ',') AS affected_tickers,
+  n AS source_count, hq AS hq_source_count, top AS top_source_score, tier, score AS final_score, {decision_sql('score')} AS alert_level FROM scored""")
 def e13_clusters(desk: Desk) -> DataFrame:
     primary = desk.news_entities.filter("is_primary").groupBy("news_id").agg(
         F.collect_set("name").alias("primary_entities"), F.collect_set("ticker").alias("primary_tickers"))
     items = item_context(desk).join(primary, "news_id").join(desk.news.select("news_id", "source_score"), "news_id")
     grown = clustering.apply_attachments(desk.clusters, attached(desk), items, desk.watchlist)
     return grown.select("cluster_id", *[F.array_join(c, ",").alias(c) for c in ("regions", "asset_classes", "affected_entities", "affected_tickers")],
-                        "source_count", "hq_source_count", "top_source_score")
+                        "source_count", "hq_source_count", "top_source_score", "tier", "final_score", "alert_level")
 
 
 def doubled_links(desk: Desk) -> DataFrame:
@@ -303,6 +378,17 @@ def e14_events(desk: Desk) -> DataFrame:
     return clustering.merged_events(doubled_links(desk), merge_mapping(desk), desk.clusters, desk.news, desk.watchlist)
 
 
+@query("e9_ejected_events", f"""
+WITH {OUTLIER_SQL}, ej AS (SELECT cluster_id, news_id FROM outliers WHERE news_id % 2 = 0),
+after AS (SELECT CASE WHEN e.news_id IS NOT NULL THEN -l.news_id - 1 ELSE l.cluster_id END AS cluster_id, l.news_id FROM cluster_items l LEFT JOIN ej e USING (cluster_id, news_id)),
+touched AS (SELECT cluster_id FROM ej UNION SELECT -news_id - 1 FROM ej), {CHANGED_SQL}
+SELECT * FROM fresh""")
+def e9_events(desk: Desk) -> DataFrame:
+    outliers = cut_lineage(clustering.coherence_outliers(desk.cluster_items, desk.news_vectors))
+    verdicts = outliers.select("cluster_id", "news_id", F.when(F.col("news_id") % 2 == 0, "reject").otherwise("keep").alias("verdict"))
+    return clustering.ejected_events(desk.cluster_items, outliers, verdicts, desk.clusters, desk.news, desk.watchlist)
+
+
 SPLIT_SQL = """
 after AS (SELECT CASE WHEN news_id % 4 = 3 OR cluster_id % 9 = 0 THEN cluster_id + 1000000 ELSE cluster_id END AS cluster_id, news_id FROM cluster_items)"""
 

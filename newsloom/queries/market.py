@@ -372,15 +372,15 @@ def f20(desk: Desk) -> DataFrame:
 
 
 @query("f21_local_evidence", rf"""
-WITH newest AS (SELECT news_id, source_score, lower(title || ' ' || coalesce(snippet, '')) AS body FROM news
-   WHERE created_at >= TIMESTAMP '2024-01-02' ORDER BY created_at DESC, news_id LIMIT 10),
+WITH recent AS (SELECT news_id, created_at, source_score, lower(title || ' ' || coalesce(snippet, '')) AS body FROM news WHERE created_at >= TIMESTAMP '2024-01-02'),
 t AS (SELECT cluster_id AS target_id, affected_tickers AS s, affected_entities AS e, list_filter(list_distinct(list_transform(
      regexp_extract_all(headline || ' ' || array_to_string(affected_entities, ' '), '[A-Za-z0-9][A-Za-z0-9.-]{{2,}}'), lambda w: lower(w))),
      lambda w: NOT list_contains({sql_list(alerts.EVIDENCE_STOPWORDS)}, w)) AS c FROM clusters),
-p AS (SELECT target_id, news_id, least(10, greatest(0, source_score // 10))
+p AS (SELECT target_id, news_id, created_at, least(10, greatest(0, source_score // 10))
    + 20 * len(list_filter(s, lambda v: contains(body, lower(v)))) + 25 * len(list_filter(e, lambda v: contains(body, lower(v))))
-   + least(30, 5 * len(list_filter(c, lambda v: contains(body, v)))) AS score FROM t, newest)
-SELECT target_id, news_id, CAST(score AS INT) AS relevance_score FROM p WHERE score >= 30""")
+   + least(30, 5 * len(list_filter(c, lambda v: contains(body, v)))) AS score FROM t, recent)
+SELECT target_id, news_id, CAST(score AS INT) AS relevance_score FROM p WHERE score >= 30
+QUALIFY row_number() OVER (PARTITION BY target_id ORDER BY created_at DESC, news_id) <= 10""")
 def f21(desk: Desk) -> DataFrame:
     targets = desk.clusters.select(
         F.col("cluster_id").alias("target_id"), F.col("affected_tickers").alias("symbols"),
