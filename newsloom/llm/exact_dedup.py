@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from newsloom.llm.tables import keep_one
 from newsloom.plans.lineage import cut_lineage
 
 FAN_IN = 8
@@ -66,12 +67,11 @@ def group_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 
 
 def drop_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``docs`` without its copies, all columns kept. Rows are matched to their group by id and digest."""
-    groups = group_copies(docs, id_column, text_column).filter("kept").select(
-        F.col(id_column).alias("__id"), F.col("text_sha256").alias("__digest"))
+    """``docs`` without its copies, all columns kept. Of rows equal in id and text the first by a digest of the row stays.
+
+    Rows are matched to their group by id and digest; groups are decided on digests, texts move once.
+    """
+    groups = group_copies(docs, id_column, text_column).groupBy(F.col(id_column).alias("id"), F.col("text_sha256").alias("digest")).agg(
+        F.count(F.lit(1)).alias("n"), F.max("kept").alias("kept")).filter("kept")
     plain = F.regexp_replace(F.coalesce(F.col(text_column), F.lit("")), r"[\x20\x09-\x0D]+", " ")
-    marked = docs.withColumn("__digest_here", F.sha2(plain, 256))
-    kept = marked.join(groups, F.col(id_column).eqNullSafe(F.col("__id")) & (F.col("__digest_here") == F.col("__digest")), "inner")
-    # one of rows that are equal in id and text
-    nth = F.row_number().over(Window.partitionBy(id_column, "__digest_here").orderBy(F.lit(1)))
-    return kept.withColumn("__nth", nth).filter("__nth = 1").select(*[docs[c] for c in docs.columns])
+    return keep_one(docs, groups, {"id": F.col(id_column), "digest": F.sha2(plain, 256)})

@@ -5,7 +5,7 @@ sources another one on top, whose root stands for the dataset. A tampered leaf m
 shares every untouched node: only the ancestors of the leaf are copied, everything beside them is read from the
 original.
 
-Trees are cut into aligned blocks of ``BLOCK`` = 3^6 nodes, six levels each. Upwards, a task reduces a block to its top, and the
+Trees are cut into aligned blocks of 3^6 nodes, six levels each (``LEVELS``). Upwards, a task reduces a block to its top, and the
 tops are the nodes of the next tier, until one node a source is left; then the sources' subroots go the same way. Downwards,
 the siblings on the path from a block's top to the root are passed on from tier to tier, each block getting those of
 its parent. With them the blocks of leaves are visited once more: each leaf's copies inside its block are made there
@@ -32,7 +32,6 @@ from newsloom.llm.tables import type_of
 from newsloom.plans.lineage import cut_lineage
 
 FAN_OUT, LEVELS = 3, 6
-BLOCK = FAN_OUT**LEVELS
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 TAMPERED_DIVISOR = 2
 
@@ -46,13 +45,13 @@ def joint_digest(parts: Sequence[str]) -> str:
     return sha256("".join(parts).encode()).hexdigest()
 
 
-def shared_levels(digests: list[str], whole: bool) -> list[list[str]]:
-    """All levels of a block, nodes first, top last. A block that is its ``whole`` tree ends when one node is left."""
-    levels = [digests]
-    while len(levels[-1]) > 1 if whole else len(levels) <= LEVELS:
-        below = levels[-1]
-        levels.append([joint_digest(below[k:k + FAN_OUT]) for k in range(0, len(below), FAN_OUT)])
-    return levels
+def shared_levels(digests: list[str], nodes: int, height: int) -> list[list[str]]:
+    """All levels of a block, nodes first, top last. A block that is its whole tree of ``nodes`` ends when one is left."""
+    whole, found = nodes <= FAN_OUT**height, [digests]
+    while len(found[-1]) > 1 if whole else len(found) <= height:
+        below = found[-1]
+        found.append([joint_digest(below[k:k + FAN_OUT]) for k in range(0, len(below), FAN_OUT)])
+    return found
 
 
 def siblings(levels: list[list[str]], at: int) -> list[tuple[str, str]]:
@@ -76,55 +75,56 @@ def copied_path(digest: str, path: Sequence[tuple[str, str]]) -> list[str]:
 
 # --- tiers ------------------------------------------------------------------------------------
 
-def _block() -> Column:
-    return F.floor(F.col("position") / BLOCK).cast("long").alias("block")
+def _block(height: int) -> Column:
+    return F.expr(f"position div {FAN_OUT**height}L").alias("block")
 
 
-def _top(rows: pd.DataFrame) -> pd.DataFrame:
+def _top(rows: pd.DataFrame, height: int) -> pd.DataFrame:
     rows = rows.sort_values("position")
-    nodes, first = int(rows["nodes"].iloc[0]), rows.iloc[0]
-    top = shared_levels(list(rows["digest"]), nodes <= BLOCK)[-1][0]
-    return pd.DataFrame({"tree": [first["tree"]], "position": [first["position"] // BLOCK], "nodes": [-(-nodes // BLOCK)], "digest": [top]})
+    nodes, first, size = int(rows["nodes"].iloc[0]), rows.iloc[0], FAN_OUT**height
+    top = shared_levels(list(rows["digest"]), nodes, height)[-1][0]
+    return pd.DataFrame({"tree": [first["tree"]], "position": [first["position"] // size], "nodes": [-(-nodes // size)], "digest": [top]})
 
 
-def tops(nodes: DataFrame) -> DataFrame:
+def tops(nodes: DataFrame, height: int) -> DataFrame:
     """The next tier: one node per block."""
-    return cut_lineage(nodes.select("tree", _block(), "position", "nodes", "digest").groupBy("tree", "block").applyInPandas(_top, NODE))
+    blocks = nodes.select("tree", _block(height), "position", "nodes", "digest").groupBy("tree", "block")
+    return cut_lineage(blocks.applyInPandas(lambda rows: _top(rows, height), NODE))
 
 
-def tiers(nodes: DataFrame) -> list[DataFrame]:
+def tiers(nodes: DataFrame, height: int) -> list[DataFrame]:
     """All tiers from ``nodes`` to the one that has a single node per tree."""
     found = [nodes]
     while not found[-1].filter("nodes > 1").isEmpty():
-        found.append(tops(found[-1]))
+        found.append(tops(found[-1], height))
     return found
 
 
-def _with_path(nodes: pd.DataFrame, above: pd.DataFrame) -> pd.DataFrame:
+def _with_path(nodes: pd.DataFrame, above: pd.DataFrame, height: int) -> pd.DataFrame:
     nodes = nodes.sort_values("position")
-    levels = shared_levels(list(nodes["digest"]), int(nodes["nodes"].iloc[0]) <= BLOCK)
+    levels = shared_levels(list(nodes["digest"]), int(nodes["nodes"].iloc[0]), height)
     upper = [(p["before"], p["after"]) for p in above["path"].iloc[0]]
     paths = [[{"before": b, "after": a} for b, a in siblings(levels, k) + upper] for k in range(len(nodes))]
     return pd.DataFrame({"tree": nodes["tree"], "position": nodes["position"], "subroot": above["subroot"].iloc[0],
                          "root": above["root"].iloc[0], "path": paths})
 
 
-def paths_below(nodes: DataFrame, above: DataFrame) -> DataFrame:
+def paths_below(nodes: DataFrame, above: DataFrame, height: int) -> DataFrame:
     """Siblings up to the root for every node of a tier, given those of the tier above."""
-    blocks = nodes.select("tree", _block(), "position", "nodes", "digest").groupBy("tree", "block")
+    blocks = nodes.select("tree", _block(height), "position", "nodes", "digest").groupBy("tree", "block")
     return cut_lineage(blocks.cogroup(above.withColumnRenamed("position", "block").groupBy("tree", "block")).applyInPandas(
-        _with_path, f"tree string, position long, subroot string, root string, path {PATH}"))
+        lambda rows, upper: _with_path(rows, upper, height), f"tree string, position long, subroot string, root string, path {PATH}"))
 
 
-def root_paths(sources: DataFrame) -> DataFrame:
+def root_paths(sources: DataFrame, height: int) -> DataFrame:
     """Siblings up to the dataset's root for the subroot of every tree: the same form as ``paths_below``, position 0."""
     ranked = positions(sources.select(F.lit("").alias("of"), "tree", "digest"), "of", ("tree",))
     named = ranked.select("tree", F.col("digest").alias("subroot"), "position")
-    levels = tiers(cut_lineage(ranked.select(F.lit("").alias("tree"), "position", "nodes", "digest")))
+    levels = tiers(cut_lineage(ranked.select(F.lit("").alias("tree"), "position", "nodes", "digest")), height)
     none = F.array().cast(PATH)
     above = levels.pop().select("tree", "position", F.lit(None).cast("string").alias("subroot"), F.col("digest").alias("root"), none.alias("path"))
     while levels:
-        above = paths_below(levels.pop(), above)
+        above = paths_below(levels.pop(), above, height)
     return cut_lineage(above.select("position", "root", "path").join(named, "position").select(
         "tree", F.lit(0).cast("long").alias("position"), "subroot", "root", "path"))
 
@@ -168,9 +168,9 @@ def leaves(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     return docs.select(fields[0].alias("id"), tree.alias("tree"), _hashed(*fields).alias("leaf"), F.when(tampered, cut).alias("changed"))
 
 
-def _versions(rows: pd.DataFrame, above: pd.DataFrame) -> pd.DataFrame:
+def _versions(rows: pd.DataFrame, above: pd.DataFrame, height: int) -> pd.DataFrame:
     rows = rows.sort_values("position")
-    levels = shared_levels(list(rows["leaf"]), int(rows["nodes"].iloc[0]) <= BLOCK)
+    levels = shared_levels(list(rows["leaf"]), int(rows["nodes"].iloc[0]), height)
     upper = [(p["before"], p["after"]) for p in above["path"].iloc[0]]
     upper_proof = "".join(b + a for b, a in upper)
     root = above["root"].iloc[0]
@@ -186,20 +186,22 @@ def _versions(rows: pd.DataFrame, above: pd.DataFrame) -> pd.DataFrame:
                          "folded_root": roots, "verified": [r == root for r in roots], "copied_nodes": copied})
 
 
-def verify(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
+def verify(docs: DataFrame, id_column: str = "doc_id", height: int = LEVELS) -> DataFrame:
     """One row per input row: its leaf, roots and proof in the original, and the root of its version.
 
-    ``copied_nodes`` is the number of nodes its version does not share with the original, the leaf included.
+    ``copied_nodes`` is the number of nodes its version does not share with the original, the leaf included. ``height`` is
+    that of a block; it changes no result.
     """
     kind = type_of(docs, id_column)
     placed = cut_lineage(positions(leaves(docs, id_column), "tree", ("id", "leaf")))
-    levels = tiers(placed.select("tree", "position", "nodes", F.col("leaf").alias("digest")))
+    levels = tiers(placed.select("tree", "position", "nodes", F.col("leaf").alias("digest")), height)
     if len(levels) == 1:  # a tree of leaves always has a tier of tops, if only of themselves
-        levels.append(tops(levels[0]))
-    above = root_paths(levels.pop().select("tree", "digest"))
+        levels.append(tops(levels[0], height))
+    above = root_paths(levels.pop().select("tree", "digest"), height)
     while len(levels) > 1:
-        above = paths_below(levels.pop(), above)
-    blocks = placed.select("tree", _block(), "position", "nodes", "id", "leaf", "changed").groupBy("tree", "block")
+        above = paths_below(levels.pop(), above, height)
+    blocks = placed.select("tree", _block(height), "position", "nodes", "id", "leaf", "changed").groupBy("tree", "block")
     return blocks.cogroup(above.withColumnRenamed("position", "block").groupBy("tree", "block")).applyInPandas(
-        _versions, f"id {kind}, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean, "
-                   "copied_nodes long").withColumnRenamed("id", id_column)
+        lambda rows, upper: _versions(rows, upper, height),
+        f"id {kind}, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean, "
+        "copied_nodes long").withColumnRenamed("id", id_column)

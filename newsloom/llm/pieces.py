@@ -259,7 +259,8 @@ def batches_of(texts: list[str | None], chars: int = SLICE) -> Iterator[list[str
 
 
 def encode_pieces(docs: DataFrame, keep: Sequence[str] = ("doc_id",), text_column: str = "text", path: str | None = None) -> DataFrame:
-    """The columns ``keep``, then ``ids array<int>``."""
+    """The columns ``keep``, then ``ids array<int>``. A kept column of that name gets an underscore at its end."""
+    names = _renamed(keep, ("ids",))
     shared = docs.sparkSession.sparkContext.broadcast(load_pieces(path))
     width = len(keep)
 
@@ -271,15 +272,31 @@ def encode_pieces(docs: DataFrame, keep: Sequence[str] = ("doc_id",), text_colum
                 found = pieces.encode_many(texts)
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found)))
-                yield pa.RecordBatch.from_arrays([*batch.slice(at, len(texts)).columns[:width], ids], names=[*keep, "ids"])
+                yield pa.RecordBatch.from_arrays([*batch.slice(at, len(texts)).columns[:width], ids], names=[*names, "ids"])
                 at += len(texts)
 
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*keep, docs[text_column].alias("__text")).mapInArrow(run, f"{schema}, ids array<int>")
+    schema = ", ".join(f"`{n}` {docs.schema[c].dataType.simpleString()}" for n, c in zip(names, keep, strict=True))
+    return docs.select(*[docs[c] for c in keep], docs[text_column]).mapInArrow(run, f"{schema}, ids array<int>")
+
+
+def _renamed(names: Sequence[str], own: Sequence[str]) -> list[str]:
+    """``names`` with as many underscores at the end of those among ``own`` as it takes to be new."""
+    taken, out = {*names, *own}, []
+    for name in names:
+        if name in own:
+            while name in taken:
+                name += "_"
+            taken.add(name)
+        out.append(name)
+    return out
 
 
 def decode_pieces(encoded: DataFrame, path: str | None = None) -> DataFrame:
-    """Adds ``decoded``, the text that ``ids`` spell, and ``n_byte_pieces``, the number of byte pieces among them."""
+    """Adds ``decoded``, the text that ``ids`` spell, and ``n_byte_pieces``, the number of byte pieces among them.
+
+    Columns that have one of these names already get an underscore at their end.
+    """
+    encoded = encoded.toDF(*_renamed(encoded.columns, ("decoded", "n_byte_pieces")))
     shared = encoded.sparkSession.sparkContext.broadcast(load_pieces(path))
     at = encoded.columns.index("ids")
 

@@ -14,8 +14,8 @@ twice, so dealing ends before four bits are free: these have 16 values, and the
 is capped and no task holds more than ``BUCKET`` fingerprints at once. Tasks return a spanning forest of the links they
 verify, not the pairs.
 
-Null text: as empty; no words: fingerprint zero, linked like any other. Rows that repeat an id or a text share their
-result. A row without id has a fingerprint, takes no part in linking and gets a null component. Empty table: empty
+Null text: as empty; no words: fingerprint zero, linked like any other. Rows that share a
+text share their result; rows that share an id only do not. A row without id has a fingerprint, takes no part in linking and gets a null component. Empty table: empty
 result. Other columns are ignored by ``near_groups`` and returned unchanged by ``drop_near_copies``.
 """
 
@@ -26,11 +26,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.llm.links import components_of, sorted_runs
-from newsloom.llm.tables import type_of, with_rows
+from newsloom.llm.tables import keep_one, type_of, with_rows
 from newsloom.plans.components import connected_components, join_hot
 from newsloom.plans.lineage import cut_lineage
 
@@ -82,14 +82,19 @@ def _signed(x: int) -> int:
 
 
 def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``(id, fp)`` for every row; ``fp`` holds the 64 bits as a signed long."""
+    """``(id, digest, fp)`` for every row; ``fp`` holds the 64 bits as a signed long, ``digest`` is XXH64 of the text as it is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in with_rows(batches):
-            fps = [_signed(fingerprint(t.as_py())) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], names=["id", "fp"])
+            fps = [_signed(fingerprint(t.as_py())) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.int64())], names=["id", "digest", "fp"])
 
-    return docs.select(id_column, text_column).mapInArrow(run, f"id {type_of(docs, id_column)}, fp bigint")
+    rows = docs.select(F.col(id_column).alias("id"), text_digest(F.col(text_column)).alias("digest"), F.col(text_column).alias("text"))
+    return rows.mapInArrow(run, f"id {type_of(docs, id_column)}, digest bigint, fp bigint")
+
+
+def text_digest(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def _link_buckets(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
@@ -146,22 +151,35 @@ def near_edges(nodes: DataFrame, bucket: int | None = None) -> DataFrame:
             return found
 
 
+def _components(rows: DataFrame) -> DataFrame:
+    """``(fp, component, component_id)`` of every fingerprint that a row with an id has; ``component`` is a fingerprint.
+
+    Fingerprints are linked as such, and ids come in afterwards, so rows that share an id link nothing.
+    """
+    nodes = cut_lineage(rows.groupBy("fp").agg(F.min("id").alias("low")).filter("low IS NOT NULL"))
+    parts = connected_components(near_edges(nodes.select("fp", F.col("fp").alias("node"))))
+    placed = nodes.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("component", "fp").alias("component"))
+    lows = placed.groupBy("component").agg(F.min("low").alias("component_id"))
+    return cut_lineage(join_hot(placed, lows, "component").select("fp", "component", "component_id"))
+
+
 def near_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per input row: id, ``fingerprint`` in 16 hex digits, ``component_id``."""
-    rows = cut_lineage(fingerprints(docs, id_column, text_column))
-    nodes = cut_lineage(rows.groupBy("fp").agg(F.min("id").cast("long").alias("node")).filter("node IS NOT NULL"))
-    parts = connected_components(near_edges(nodes))
-    of_fp = nodes.join(parts, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return join_hot(rows, of_fp, "fp").select(
+    rows = cut_lineage(fingerprints(docs, id_column, text_column).drop("digest"))
+    return join_hot(rows, _components(rows), "fp").select(
         F.col("id").alias(id_column), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
 def drop_near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``docs`` with one document of each component, all columns kept; rows without id stay."""
-    groups = near_groups(docs, id_column, text_column)
-    keep = groups.filter(F.col(id_column) == F.col("component_id")).select(F.col(id_column).alias("__keep")).distinct()
-    kept = docs.filter(F.col(id_column).isNotNull()).join(keep, F.col(id_column) == F.col("__keep"), "inner")
-    nth = F.row_number().over(Window.partitionBy(id_column).orderBy(F.lit(1)))  # one of rows that repeat an id
-    kept = kept.withColumn("__nth", nth).filter("__nth = 1").select(*docs.columns)
-    return kept.unionByName(docs.filter(F.col(id_column).isNull()))
+    """``docs`` with one document of each component, all columns kept; rows without id stay.
+
+    The one is a row with the component's smallest id; where several rows of the component have that id, the one with
+    the smallest digest. Components are decided on narrow rows; texts move once.
+    """
+    rows = cut_lineage(fingerprints(docs, id_column, text_column).filter("id IS NOT NULL"))
+    first = join_hot(rows, _components(rows), "fp").filter("id = component_id")
+    texts = first.groupBy("component", "id", "digest").agg(F.count(F.lit(1)).alias("n"))
+    marked = texts.groupBy("component").agg(F.min(F.struct("id", "digest", "n")).alias("one")).select("one.*")
+    left = keep_one(docs.filter(F.col(id_column).isNotNull()), marked, {"id": F.col(id_column), "digest": text_digest(F.col(text_column))})
+    return left.unionByName(docs.filter(F.col(id_column).isNull()))

@@ -6,8 +6,8 @@ sentence explains. Only whole documents carry labels, the gradient of their log
 the product. Offending sentences are those that score ``OFFENDING`` or more.
 
 The classifier is fitted on at most ``SAMPLE`` labelled rows, those first in the order of a hash of their id; their
-ids are broadcast, which that bound allows. The vocabulary is at most ``VOCABULARY`` features that stand in toxic
-documents significantly more often than in others. What reaches the driver is the sample's vocabulary features per
+ids are broadcast, which that bound allows; an id that several documents share stands for one of them. The vocabulary is
+all features that stand in toxic documents significantly more often than in others. What reaches the driver is the sample's vocabulary features per
 sentence, folded into counted patterns. Scoring is one pass over whole texts without a shuffle.
 
 Null or empty text: the leak. Null id: scored, never held out. Labels: a null label is left out, several labels of
@@ -33,7 +33,6 @@ from newsloom.llm.tables import lower_in_place, type_of, with_rows
 from newsloom.plans.lineage import cut_lineage
 
 SAMPLE = 20_000
-VOCABULARY = 512
 LEAST_Z = 4.0
 LEAST_DOCS = 4
 OFFENDING = 0.5
@@ -72,7 +71,8 @@ def _sample(docs: DataFrame, labels: DataFrame, id_column: str, text_column: str
     given = labels.select(F.col(id_column).alias("id"), F.col("toxic").cast("int").alias("toxic")).dropna().filter(~held_out(F.col("id")))
     first = given.groupBy("id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("id"), "id").limit(rows)
     texts = docs.select(F.col(id_column).alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
-    return cut_lineage(texts.join(F.broadcast(first), "id"))
+    # one text per id, whatever the number of documents that share it: copies in a task are one row before they leave it
+    return cut_lineage(texts.join(F.broadcast(first), "id").groupBy("id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text")))
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,7 +92,7 @@ def _vocabulary(sample: DataFrame, toxic: int, clean: int) -> list[str]:
     rate = F.col("n") / (toxic + clean)
     z = (F.col("t") / toxic - (F.col("n") - F.col("t")) / clean) / F.sqrt(rate * (1 - rate) * (1 / toxic + 1 / clean))
     best = by_word.filter((F.col("t") >= LEAST_DOCS) & (F.col("n") < toxic + clean)).withColumn("z", z).filter(F.col("z") >= LEAST_Z)
-    return [r["word"] for r in best.orderBy(F.desc("z"), "word").limit(VOCABULARY).select("word").collect()]
+    return [r["word"] for r in best.orderBy(F.desc("z"), "word").select("word").collect()]
 
 
 def _patterns(sample: DataFrame, vocabulary: list[str]) -> list:

@@ -10,7 +10,7 @@ from tests.llm.test_operators import components, plain_fingerprint
 
 def test_registered():
     assert {"pipeline", *(n for n in queries() if n.startswith("op"))} <= set(queries())
-    assert sum(n.startswith("op") and n[2].isdigit() for n in queries()) == 10 and "pipeline" not in oracle_sql()
+    assert sum(n.startswith("op") and n[2].isdigit() for n in queries()) == 13 and "pipeline" not in oracle_sql()
 
 
 def test_stages(spark, tmp_path):
