@@ -1,11 +1,13 @@
 """Plan helpers against brute force, with one key holding a large share of the rows."""
 
 import random
+from datetime import datetime, timedelta
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from newsloom.plans import similarity
+from newsloom.plans import intervals, similarity
 from newsloom.plans.components import connected_components
 from newsloom.plans.keys import flag_first, number_rows, previous_window_mean
 
@@ -91,3 +93,52 @@ def test_best_in_group_with_hot_group(spark, monkeypatch):
     for i in range(80):
         others = [points[i] @ points[j] for j in range(80) if j != i and groups[j] == groups[i]]
         assert abs(got[i] - max(others)) < 1e-9
+
+
+def _timed(spark, seed, left=60, right=400):
+    """Intervals and instants, two thirds of the instants of one key, many of them equal."""
+    rng, start = random.Random(seed), datetime(2024, 1, 1)
+
+    def when(days):
+        return start + timedelta(seconds=rng.randrange(int(days * 86400)), microseconds=rng.choice([0, 0, 250_000, 999_999]))
+
+    lows = [(i, "hot" if i % 2 else rng.choice("ab"), when(4)) for i in range(left)]
+    spans = [timedelta(0), timedelta(seconds=1), timedelta(milliseconds=300), timedelta(seconds=9), timedelta(minutes=7), timedelta(hours=28), timedelta(days=9)]
+    rows = [(i, k, t, t + rng.choice(spans)) for i, k, t in lows]
+    same = when(4)
+    points = [(j, "hot" if j % 3 else rng.choice("abc"), same if j % 5 == 0 else rng.choice([t for _, _, t in lows]) if j % 5 == 1 else when(8), rng.randrange(1000), j % 2)
+              for j in range(right)]
+    return (rows, points, spark.createDataFrame(rows, "row long, k string, lo timestamp_ntz, hi timestamp_ntz"),
+            spark.createDataFrame(points, "id long, k string, ts timestamp_ntz, v int, part int"))
+
+
+@pytest.mark.parametrize("largest", [True, False])
+def test_interval_extreme_equals_brute_force(spark, largest):
+    rows, points, left, right = _timed(spark, 1)
+    found = intervals.interval_extreme(left, right, row_id=["row"], keys=["k"], low=F.col("lo"), high=F.col("hi"), right_ts="ts", value=F.col("v"),
+                                       largest=largest, out="best", right_group=["part"])
+    want = {}
+    for i, k, lo, hi in rows:
+        for _, kk, ts, v, part in points:
+            if k == kk and lo <= ts <= hi:
+                want[i, part] = (max if largest else min)(v, want.get((i, part), v))
+    assert want and {(r["row"], r["part"]): r["best"] for r in found.collect()} == want
+
+
+def test_stretches_are_few_and_cover_each_second_once(spark):
+    rng = random.Random(9)
+    spans = [(a, a + n) for n in (-1, 0, 1, 6, 7, 8, 63, 64, 65, 3600, 100_800, 400_000) for a in (0, 1, 7, 8, 63, 1_700_000_000 + rng.randrange(10**6))]
+    got = spark.createDataFrame(spans, "a long, b long").select("a", "b", intervals._stretches(F.col("a"), F.col("b")).alias("s")).collect()
+    for r in got:
+        pieces = sorted((s["at"] * 8 ** s["level"], (s["at"] + 1) * 8 ** s["level"]) for s in r["s"])
+        assert len(pieces) <= 2 * 7 * 6 + 2
+        assert [p[0] for p in pieces[1:]] == [p[1] for p in pieces[:-1]]
+        assert (pieces[0][0], pieces[-1][1]) == (r["a"], r["b"] + 1) if r["b"] >= r["a"] else not pieces
+
+
+def test_interval_join_equals_brute_force_with_a_hot_key(spark):
+    rows, points, left, right = _timed(spark, 2)
+    found = intervals.interval_join(left, right, keys=["k"], low=F.col("lo"), high=F.col("hi"), right_ts="ts")
+    want = sorted((i, j) for i, k, lo, hi in rows for j, kk, ts, _, _ in points if k == kk and lo <= ts <= hi)
+    assert want and sorted((r["row"], r["id"]) for r in found.collect()) == want
+    assert set(found.columns) == {"row", "k", "lo", "hi", "id", "ts", "v", "part"}
