@@ -33,21 +33,30 @@ def watch_terms(watchlist: DataFrame, *, with_symbol: bool) -> DataFrame:
 def match_terms(texts: DataFrame, terms: DataFrame, row_id: str, body: str) -> DataFrame:
     """Distinct ``(row_id, watch_id, symbol)`` where a term occurs as a whole token of ``body``.
 
-    Texts and terms meet on the term's first word. A one-word term is settled by that equality;
-    longer ones are verified by pattern against the text, for the surviving pairs only.
+    Texts and terms meet on the term's longest word, the one that is likely the rarest. A one-word term is settled by that
+    equality; longer ones are verified by pattern against the text, for the surviving pairs only. The few terms
+    without any word are tried on every text, as they have nothing to meet on.
     """
-    first = F.regexp_extract("term", r"[\p{L}\p{N}_]+", 0)
-    keyed = terms.select("watch_id", "symbol", "term", first.alias("_token"), (first == F.col("term")).alias("_single"))
-    tokens = texts.select(row_id, F.explode(F.array_union(
-        text.word_tokens(F.coalesce(F.col(body), F.lit(""))), F.array(F.lit("")))).alias("_token"))
-    hits = tokens.join(keyed, "_token")
+    words = F.transform(F.regexp_extract_all("term", F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))
+    anchor = F.array_max(words)["w"]
+    keyed = terms.select("watch_id", "symbol", "term", anchor.alias("_token"), (anchor == F.col("term")).alias("_single"))
+    tokens = texts.select(row_id, F.explode(text.word_tokens(F.coalesce(F.col(body), F.lit("")))).alias("_token"))
+    hits = tokens.join(keyed.filter(F.col("_token").isNotNull()), "_token")
     sure = hits.filter("_single").select(row_id, "watch_id", "symbol")
+    folded = text.casefold(F.col(body))
     checked = (
         hits.filter(~F.col("_single")).select(row_id, "watch_id", "symbol", "term").distinct()
         .join(texts.select(row_id, body), row_id)
-        .filter(F.regexp_like(text.casefold(F.col(body)), text.whole_token_pattern(F.col("term"))))
+        .filter(F.regexp_like(folded, text.whole_token_pattern(F.col("term"))))
         .select(row_id, "watch_id", "symbol"))
-    return sure.unionByName(checked).distinct()
+    found = sure.unionByName(checked)
+    bare = keyed.filter(F.col("_token").isNull()).select("watch_id", "symbol", "term")
+    if not bare.isEmpty():
+        listed = bare.agg(F.collect_list(F.struct("watch_id", "symbol", "term"))).scalar()
+        tried = texts.select(row_id, folded.alias("_folded"), F.explode(listed).alias("_t")).filter(
+            F.regexp_like("_folded", text.whole_token_pattern(F.col("_t.term"))))
+        found = found.unionByName(tried.select(row_id, "_t.watch_id", "_t.symbol"))
+    return found.distinct()
 
 
 def match_watchlist(news: DataFrame, watchlist: DataFrame) -> DataFrame:
