@@ -283,7 +283,16 @@ def a12(desk: Desk) -> DataFrame:
     return made.select("watch_id", "symbol", "provider", "provider_symbol", "status", "reason", "reused")
 
 
-@query("a13_watchlist_import")
+@query("a13_watchlist_import", """
+WITH RECURSIVE r AS (SELECT c_custkey AS idx, CASE WHEN c_custkey % 7 <> 0 THEN upper('n' || (c_custkey * 13 % 400)) END AS s,
+    lower('Name ' || (c_custkey * 7 % 333)) AS n, c_custkey % 19 <> 0 AS whole, row_number() OVER (ORDER BY c_custkey) AS k FROM customer),
+known AS (SELECT list(DISTINCT upper(symbol)) AS ss, list(DISTINCT lower(name)) AS ns FROM watchlist),
+walk(k, idx, outcome, ss, ns) AS (SELECT CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR), ss, ns FROM known UNION ALL
+  SELECT k, idx, outcome, CASE WHEN outcome = 'imported' AND s IS NOT NULL THEN list_append(ss, s) ELSE ss END,
+    CASE WHEN outcome = 'imported' THEN list_append(ns, n) ELSE ns END
+  FROM (SELECT r.k, r.idx, r.s, r.n, w.ss, w.ns, CASE WHEN NOT r.whole THEN 'skipped_incomplete' WHEN r.s IS NOT NULL AND list_contains(w.ss, r.s) THEN 'skipped_symbol'
+      WHEN list_contains(w.ns, r.n) THEN 'skipped_name' ELSE 'imported' END AS outcome FROM walk w JOIN r ON r.k = w.k + 1))
+SELECT idx, outcome FROM walk WHERE k > 0""")
 def a13(desk: Desk) -> DataFrame:
     k = F.col("c_custkey")
     rows = desk.table("customer").select(
