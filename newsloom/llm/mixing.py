@@ -168,20 +168,24 @@ def mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", s
 
 
 def take(docs: DataFrame, mixed: DataFrame, id_column: str = "doc_id") -> DataFrame:
-    """``docs`` with every document as often as the mix takes it, all columns kept; texts are shuffled once.
+    """``docs`` with every document as often as the mix takes it, all columns kept; texts are shuffled once, twice if copies do not divide.
 
     The copies of an id are shared out evenly among its rows, what is left over in the order of a digest of the row. Only
     rows of an id whose copies do not divide evenly are ranked for that.
     """
     own_id, copies, rows, order, nth, copy = fresh_names(docs, "id_of_row", "copies", "rows", "order_of_row", "nth_of_id", "copy")
     per_id = mixed.groupBy(F.col(id_column).alias(own_id)).agg(F.sum("copies").alias(copies), F.count(F.lit(1)).alias(rows))
-    joined = docs.withColumn(order, row_order(docs)).join(per_id.filter(F.col(copies) > 0), F.col(id_column).eqNullSafe(F.col(own_id)))
+    per_id = cut_lineage(per_id.filter(F.col(copies) > 0))
+    same = F.col(id_column).eqNullSafe(F.col(own_id))
     even = F.col(copies) % F.col(rows) == 0
     share = F.floor(F.col(copies) / F.col(rows))
-    ranked = joined.filter(~even).withColumn(nth, F.row_number().over(Window.partitionBy(id_column).orderBy(order)))
 
     def repeated(part: DataFrame, times: Column) -> DataFrame:
         return part.withColumn(copy, F.explode(F.array_repeat(F.lit(1), times.cast("int")))).select(*[f"`{c}`" for c in docs.columns])
 
-    return repeated(joined.filter(even), share).unionByName(
-        repeated(ranked, share + (F.col(nth) <= F.col(copies) % F.col(rows)).cast("long")))
+    plain = repeated(docs.join(per_id.filter(even), same), share)
+    if per_id.filter(~even).isEmpty():
+        return plain
+    ranked = docs.withColumn(order, row_order(docs)).join(per_id.filter(~even), same).withColumn(
+        nth, F.row_number().over(Window.partitionBy(id_column).orderBy(order)))
+    return plain.unionByName(repeated(ranked, share + (F.col(nth) <= F.col(copies) % F.col(rows)).cast("long")))

@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from newsloom.plans.lineage import cut_lineage
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -45,11 +47,12 @@ def row_order(df: DataFrame) -> Column:
 
 
 def keep_one(docs: DataFrame, marked: DataFrame, keys: dict[str, Column]) -> DataFrame:
-    """One row of ``docs`` per row of ``marked``, all columns kept; texts are shuffled once.
+    """One row of ``docs`` per row of ``marked``, all columns kept; texts are shuffled once, twice if keys repeat.
 
     ``marked`` has the names of ``keys`` as columns, each combination once, and ``n``, the number of rows of ``docs`` that
     have it. Only rows that share all keys with another one are ranked; the first by ``row_order`` stays.
     """
+    marked = cut_lineage(marked)
     own = fresh_names(docs, *[f"key_{k}" for k in range(len(keys))], "rows_of_key", "order_in_key")
     *names, count, order = own
     keyed = docs.withColumns(dict(zip([*names, order], [*keys.values(), row_order(docs)], strict=True)))
@@ -58,9 +61,11 @@ def keep_one(docs: DataFrame, marked: DataFrame, keys: dict[str, Column]) -> Dat
     same = F.lit(True)
     for a, b in zip(names, sides, strict=True):
         same = same & keyed[a].eqNullSafe(other[b])
-    joined = keyed.join(other, same)
-    several = joined.filter(F.col(count) > 1)
-    place = fresh_names(joined, "place_in_key")[0]
-    first = several.withColumn(place, F.row_number().over(Window.partitionBy(*names).orderBy(order))).filter(F.col(place) == 1)
     columns = [f"`{c}`" for c in docs.columns]
-    return joined.filter(F.col(count) == 1).select(*columns).unionByName(first.select(*columns))
+    single = keyed.join(other.filter(F.col(count) == 1), same).select(*columns)
+    if marked.filter("n > 1").isEmpty():
+        return single
+    several = keyed.join(other.filter(F.col(count) > 1), same)
+    place = fresh_names(several, "place_in_key")[0]
+    first = several.withColumn(place, F.row_number().over(Window.partitionBy(*names).orderBy(order))).filter(F.col(place) == 1)
+    return single.unionByName(first.select(*columns))

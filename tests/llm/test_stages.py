@@ -109,4 +109,5 @@ def test_toxicity_takes_one_text_per_id_and_all_features(spark):
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(400)], "doc_id long, toxic int, quality int")
     sample = toxicity._sample(docs, labels, "doc_id", "text", 1000)
     assert sample.count() == sample.select("id").distinct().count()
-    assert len(toxicity.train(docs, labels).weights) > 512
+    weights = toxicity.train(docs, labels).weights
+    assert len(weights) > 512 and not set(weights) & {"calm", "harbour", "day"}
