@@ -112,7 +112,7 @@ def greedy_model(rows, window=same_event.EVENT_WINDOW):
 
 @pytest.mark.parametrize(("seed", "hours"), [(0, 9), (1, 1)])
 def test_greedy_drafts_equal_the_sequential_model(spark, seed, hours):
-    rows, candidates = make_candidates(spark, 24, seed, hours)
+    rows, candidates = make_candidates(spark, 20, seed, hours)
     got = {r["news_id"]: r["draft_id"] for r in same_event.greedy_drafts(candidates).collect()}
     assert got == greedy_model(rows)
 
@@ -142,16 +142,18 @@ def test_equal_headlines_pair_at_any_row(spark):
 def test_items_without_any_key_or_time_stay_alone(spark):
     rows = [(1, 1, None, "harbour dredging contract", ["Acme"], ["T1"]), (2, 2, datetime(2024, 1, 1), "harbour dredging contract", ["Acme"], ["T1"]),
             (3, 3, datetime(2024, 1, 2), "", [], []), (4, 4, datetime(2024, 1, 2), "", [], []), (5, 5, datetime(2024, 1, 2), "harbour dredging contract", [], [])]
-    df = spark.createDataFrame([(*r, "us", ["equity"], 50, "A") for r in rows], "news_id long, seq long, at timestamp_ntz, title string, entities array<string>, "
+    rows = [(*r, "us", ["equity"], 50, "A") for r in rows] + [(6, 6, datetime(2024, 1, 2), None, None, None, None, None, None, None),
+            (7, 7, datetime(2024, 1, 2), "harbour dredging contract", None, ["T1"], None, None, 50, None)]
+    df = spark.createDataFrame(rows, "news_id long, seq long, at timestamp_ntz, title string, entities array<string>, "
                                "tickers array<string>, region string, asset_classes array<string>, source_score int, watch_tier string")
     candidates = same_event.with_match_sets(df.withColumn("primary_entities", F.col("entities")).withColumn("primary_tickers", F.col("tickers")))
     got = {r["news_id"]: r["draft_id"] for r in same_event.greedy_drafts(candidates).collect()}
-    assert got == {1: 1, 2: 2, 3: 3, 4: 4, 5: 2}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 4, 5: 2, 6: 6, 7: 2}
     assert same_event.greedy_drafts(candidates.limit(0)).collect() == []
 
 
-def test_placement_spreads_items_that_hang_together(spark):
-    """Every item shares a ticker with every other one: no group is handed to a task, the pairs are dealt evenly."""
+def test_pairs_of_a_key_that_all_items_share(spark):
+    """The one key holds all rows of its stretches and is salted there."""
     rows, candidates = make_candidates(spark, 200, 8, hours=1)
     same = candidates.withColumn("codes", F.array(F.lit("t1"))).withColumn("primary_tickers", F.array(F.lit("T1")))
     pairs = same_event.candidate_pairs(same)
@@ -295,7 +297,7 @@ def test_pair_verdicts_equal_the_ladder(spark):
 
 
 def test_arbitrated_pairs_join(spark):
-    _, candidates = make_candidates(spark, 20, 1)
+    _, candidates = make_candidates(spark, 14, 1)
     base = {r["news_id"]: r["draft_id"] for r in same_event.greedy_drafts(candidates).collect()}
     pairs = same_event.classify_pairs(same_event.candidate_pairs(candidates), candidates).filter("kind = 'ambiguous'").collect()
     hit = next(p for p in pairs if base[p["dst"]] == p["dst"] and base[p["src"]] == p["src"])
