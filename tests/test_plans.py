@@ -84,6 +84,37 @@ def test_nearest_is_exact(spark, monkeypatch):
         assert np.allclose(got, np.sort(cosines[q])[::-1][:7])
 
 
+def test_vectors_without_clusters_stay_in_bounded_blocks(spark, monkeypatch):
+    """Random vectors: nothing can be pruned, yet a row is sent once per block and not once per pivot."""
+    monkeypatch.setattr(similarity, "BLOCK_ROWS", 40)
+    monkeypatch.setattr(similarity, "PIVOT_ROWS", 1)
+    monkeypatch.setattr(similarity, "BLOCK_VALUES", 16 * 50)
+    monkeypatch.setattr(similarity, "STRIP_ROWS", 16)
+    points = np.random.default_rng(9).normal(size=(300, 16))
+    points /= np.linalg.norm(points, axis=1)[:, None]
+    cosines = points @ points.T
+    rows = _vectors(spark, points)
+    sent, deal = [], similarity._dealt
+    monkeypatch.setattr(similarity, "_dealt", lambda df, *keys: sent.append(df) or deal(df, *keys))
+    got = {(r["src"], r["dst"]): r["cosine"] for r in similarity.similar_pairs(rows, "id", "v", 0.3).collect()}
+    want = {(i, j) for i in range(300) for j in range(i + 1, 300) if cosines[i, j] >= 0.3}
+    assert got.keys() == want and all(abs(c - cosines[p]) < 1e-9 for p, c in got.items())
+    blocks = [r["count"] for r in sent[0].groupBy("lo", "hi").count().collect()]
+    assert max(blocks) <= 2 * 70 and sum(blocks) <= 300 * 20
+    found = similarity.nearest(rows, "id", "v", rows, "id", "v", 5).collect()
+    for q in range(300):
+        near = sorted((r["rank"], r["neighbour"]) for r in found if r["query"] == q)
+        assert [n for _, n in near] == sorted(range(300), key=lambda j: (-cosines[q, j], j))[:5]
+
+
+def test_vectors_with_infinite_or_missing_parts_match_nothing(spark):
+    bad = [[float("nan"), 1.0], [float("inf"), 1.0], [0.0, 0.0], [None, 1.0]]
+    rows = spark.createDataFrame([*enumerate(bad), (7, [1.0, 1.0]), (8, [1.0, 0.9])], "id long, v array<double>")
+    assert [(r["src"], r["dst"]) for r in similarity.similar_pairs(rows, "id", "v", -1.0).collect()] == [(7, 8)]
+    found = similarity.nearest(rows, "id", "v", rows, "id", "v", 9).collect()
+    assert {(r["query"], r["neighbour"]) for r in found} == {(7, 7), (7, 8), (8, 7), (8, 8)}
+
+
 def test_best_in_group_with_hot_group(spark, monkeypatch):
     monkeypatch.setattr(similarity, "BLOCK_ROWS", 12)
     points = _clouds(80, seed=7)
