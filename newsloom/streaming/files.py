@@ -12,11 +12,12 @@ from newsloom.plans.lineage import checkpoint_folder
 
 
 def stream_parquet(spark: SparkSession, folder: str, name: str, files_per_batch: int | None = None) -> DataFrame:
-    """Stream of the Parquet file (or files) called ``name`` in ``folder``."""
-    reader = spark.readStream.schema(spark.read.parquet(f"{folder}/{name}.parquet").schema).option("pathGlobFilter", f"{name}.parquet")
+    """Stream of the Parquet table called ``name`` in ``folder``, be it one file or a folder of files."""
+    reader = spark.readStream.schema(spark.read.parquet(f"{folder}/{name}.parquet").schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(folder)
+    # a stream's plain path must be a folder; a pattern stands for either
+    return reader.parquet(f"{folder}/[{name[0]}]{name[1:]}.parquet")
 
 
 def zoned(df: DataFrame, *columns: str) -> DataFrame:

@@ -434,3 +434,13 @@ def test_quote_gate_reason(spark):
     request = spark.createDataFrame([(1, "ABC", "abc", None)], "payload_id long, coin string, symbol string, asset_class string")
     row = quotes.gated_quotes(payload, request, "1d", 1000).first()
     assert (row["outcome"], row["reason"]) == ("skipped", "Hyperliquid instrument ABC dayNtlVlm 12.5 below 1000")
+
+
+def test_a_stream_reads_a_table_of_one_file_or_of_many(spark, tmp_path):
+    from newsloom.streaming import files
+
+    spark.range(30).repartition(3).write.parquet(str(tmp_path / "many.parquet"))
+    spark.range(7).toPandas().to_parquet(tmp_path / "one.parquet")
+    for name, want in (("many", 30), ("one", 7)):
+        stream = files.stream_parquet(spark, str(tmp_path), name)
+        assert files.run_to_table(stream, files.new_folder(spark, "rows")).count() == want
