@@ -444,3 +444,29 @@ def test_a_stream_reads_a_table_of_one_file_or_of_many(spark, tmp_path):
     for name, want in (("many", 30), ("one", 7)):
         stream = files.stream_parquet(spark, str(tmp_path), name)
         assert files.run_to_table(stream, files.new_folder(spark, "rows")).count() == want
+
+
+def test_title_ratio_is_that_of_difflib():
+    rng = random.Random(11)
+
+    def drawn(letters, most):
+        return "".join(rng.choices(letters, k=rng.randrange(most)))
+
+    pairs = [(drawn("ab c", 60), drawn("abc d", 60)) for _ in range(300)]
+    pairs += [(drawn("aaaabbc xyzqwé%&", 500), drawn("aaaabbc xyzqwv&", 700)) for _ in range(60)]
+    pairs += [(drawn("abc", 400), drawn("abd", 400)) for _ in range(40)]
+    pairs += [(a, a[len(a) // 3:] + a[:len(a) // 2]) for a, _ in pairs[:350]] + [("", ""), ("", "a"), ("a", "")]
+    assert [same_event._ratio(*p) for p in pairs] == [SequenceMatcher(None, *p).ratio() for p in pairs]
+
+
+def test_judged_pairs_are_classified_pairs_without_the_similarity(spark):
+    rng, words = random.Random(12), ["growth", "prices", "banks", "rally", "slump", "rates"]
+    rows = [(i, " ".join(rng.choices(words, k=rng.randrange(4))), [f"e{j}" for j in rng.sample(range(4), rng.randrange(3))],
+             [f"t{j}" for j in rng.sample(range(4), rng.randrange(2))], [rng.choice(["equity", "crypto", "global_macro"])], rng.choice(["us", "global", "vn"]))
+            for i in range(40)]
+    rows = same_event.with_match_sets(spark.createDataFrame(
+        rows, "news_id long, title string, entities array<string>, tickers array<string>, asset_classes array<string>, region string"))
+    pairs = spark.createDataFrame([(i, j) for i in range(40) for j in range(i + 1, 40)], "src long, dst long")
+    full = same_event.classify_pairs(pairs, rows).drop("similarity")
+    got = same_event.judge_pairs(pairs, rows).select(full.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, full.collect()))
