@@ -117,6 +117,24 @@ def test_greedy_drafts_equal_the_sequential_model(spark, seed, hours):
     assert got == greedy_model(rows)
 
 
+def test_greedy_drafts_in_blocks_equal_the_sequential_model(spark, monkeypatch):
+    """Blocks of a few items and links: choices change across blocks."""
+    rows, candidates = make_candidates(spark, 16, 1, 1)
+    monkeypatch.setattr(same_event, "BLOCK_ITEMS", 8)
+    monkeypatch.setattr(same_event, "BLOCK_LINKS", 12)
+    got = {r["news_id"]: r["draft_id"] for r in same_event.greedy_drafts(candidates).collect()}
+    assert got == greedy_model(rows)
+
+
+def test_changes_inside_a_block_cost_no_rounds(spark, monkeypatch):
+    rows, candidates = make_candidates(spark, 30, 1, 1)
+    written, cut = [], same_event.cut_lineage
+    monkeypatch.setattr(same_event, "cut_lineage", lambda df: written.append(df.columns) or cut(df))
+    got = {r["news_id"]: r["draft_id"] for r in same_event.greedy_drafts(candidates).collect()}
+    assert got == greedy_model(rows)
+    assert sum("moved" in columns for columns in written) == 1
+
+
 def test_pairs_equal_brute_force_whatever_their_position(spark):
     rows, candidates = make_candidates(spark, 120, 4, hours=3)
     def words(r):
