@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from newsloom.functions import scoring, text
 from newsloom.plans.intervals import interval
 from newsloom.plans.keys import top_per_key
+from newsloom.plans.lineage import cut_lineage
 
 # Fixed values of stored entity rows.
 TICKER_PATTERN = r"^[A-Z0-9][A-Z0-9.\-:/]{0,31}$"
@@ -156,19 +157,27 @@ def extraction_plan(news: DataFrame, entities: DataFrame, runs: DataFrame, promp
 
 
 def item_candidates(news: DataFrame, mentions: DataFrame, watchlist: DataFrame) -> DataFrame:
-    """Entities, tickers and their primary subsets per item, with the fallback to title matches."""
+    """Entities, tickers and their primary subsets per item, with the fallback to title matches.
+
+    Only the texts of items without a stored name are matched; the fallback of all others would not be looked at.
+    """
     lookup = symbols_by_name(mentions, watchlist)
-    rows = mentions.join(lookup, "name", "left").groupBy("news_id").agg(
+    rows = cut_lineage(mentions.join(lookup, "name", "left").groupBy("news_id").agg(
         F.collect_set("name").alias("stored"),
         F.collect_set("ticker").alias("own"), F.collect_set("symbol").alias("mapped"),
         F.collect_set(F.when(F.col("is_primary"), F.col("name"))).alias("p_names"),
         F.collect_set(F.when(F.col("is_primary"), F.col("ticker"))).alias("p_own"),
-        F.collect_set(F.when(F.col("is_primary"), F.col("symbol"))).alias("p_mapped"))
-    names = watchlist.select("watch_id", F.col("name").alias("_watch_name"))
-    fallback = match_watchlist(news, watchlist).join(names, "watch_id").groupBy("news_id").agg(
-        F.collect_set("_watch_name").alias("title_names"))
+        F.collect_set(F.when(F.col("is_primary"), F.col("symbol"))).alias("p_mapped")))
+    bare = cut_lineage(news.select("news_id").join(rows.filter(F.size("stored") > 0).select("news_id"), "news_id", "left_anti"))
+    joined = news.select("news_id").join(rows, "news_id", "left")
+    if bare.isEmpty():
+        joined = joined.withColumn("title_names", F.lit(None).cast("array<string>"))
+    else:
+        names = watchlist.select("watch_id", F.col("name").alias("_watch_name"))
+        fallback = match_watchlist(news.join(bare, "news_id", "left_semi"), watchlist).join(names, "watch_id").groupBy("news_id").agg(
+            F.collect_set("_watch_name").alias("title_names"))
+        joined = joined.join(fallback, "news_id", "left")
     empty = F.array().cast("array<string>")
-    joined = news.select("news_id").join(rows, "news_id", "left").join(fallback, "news_id", "left")
     has = F.coalesce(F.size("stored"), F.lit(0)) > 0
 
     def tidy(c: Column) -> Column:

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from newsloom.functions import scoring, text
-from newsloom.operators import alerts, clustering, same_event
+from newsloom.operators import alerts, clustering, entities, same_event
 from newsloom.sources import feeds, pages, quotes, registry
 from newsloom.streaming import jobs
 
@@ -498,3 +498,23 @@ def test_local_evidence_finds_older_rows_stretch_by_stretch(spark, monkeypatch):
                                     "target_id long, symbols array<string>, entities array<string>, context array<string>")
     found = {(r["target_id"], r["news_id"]) for r in alerts.local_evidence(targets, news, F.lit(1), limit=4).collect()}
     assert found == {(1, 56), (1, 49), (1, 42), (1, 35), (2, 59), (2, 58), (2, 57), (2, 55)}
+
+
+def test_texts_are_matched_only_for_items_without_a_stored_name(spark, monkeypatch):
+    news = spark.createDataFrame([(1, "Bolt"), (2, "Acme and Bolt rise"), (3, "nothing")], "news_id long, title string").withColumn(
+        "snippet", F.lit(None).cast("string"))
+    mentions = spark.createDataFrame([(1, "Acme", "ACM", True), (3, None, "X", False)], "news_id long, name string, ticker string, is_primary boolean")
+    watchlist = spark.createDataFrame([(7, "Acme", "ACM", "A", True, []), (8, "Bolt", "BLT", "B", True, [])],
+                                      "watch_id long, name string, symbol string, tier string, enabled boolean, aliases array<string>")
+    matched, read = entities.match_watchlist, []
+
+    def watched(rows, terms):
+        read.append(sorted(r["news_id"] for r in rows.collect()))
+        return matched(rows, terms)
+
+    monkeypatch.setattr(entities, "match_watchlist", watched)
+    made = {r["news_id"]: (r["entities"], r["tickers"], r["primary_entities"])
+            for r in entities.item_candidates(news, mentions, watchlist).collect()}
+    assert made == {1: (["Acme"], ["ACM"], ["Acme"]), 2: (["Acme", "Bolt"], [], ["Acme", "Bolt"]), 3: ([], [], [])}
+    assert [r["entities"] for r in entities.item_candidates(news.filter("news_id = 1"), mentions, watchlist).collect()] == [["Acme"]]
+    assert read == [[2, 3]]
