@@ -53,8 +53,7 @@ def d2(desk: Desk) -> DataFrame:
 
 @query("d2_dense_embedding")
 def d2_dense(desk: Desk) -> DataFrame:
-    sparse = embedding.hashing_embedding(desk.news.select("news_id", "content"), "news_id", "content", DIMS)
-    return embedding.densify(sparse, "news_id", DIMS)
+    return embedding.dense_embedding(desk.news.select("news_id", "content"), "news_id", "content", DIMS)
 
 
 @query("d3_pending_vectors", "SELECT news_id FROM news WHERE news_id % 10 <> 9 AND news_id NOT IN (SELECT news_id FROM news_vectors)")

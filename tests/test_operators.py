@@ -1,5 +1,7 @@
 """Operators without a SQL form, against small independent models."""
 
+import hashlib
+import math
 import random
 import unicodedata
 from datetime import datetime, timedelta
@@ -9,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from newsloom.functions import scoring, text
-from newsloom.operators import alerts, clustering, entities, same_event
+from newsloom.operators import alerts, clustering, embedding, entities, same_event
 from newsloom.sources import feeds, pages, quotes, registry
 from newsloom.streaming import jobs
 
@@ -518,3 +520,33 @@ def test_texts_are_matched_only_for_items_without_a_stored_name(spark, monkeypat
     assert made == {1: (["Acme"], ["ACM"], ["Acme"]), 2: (["Acme", "Bolt"], [], ["Acme", "Bolt"]), 3: ([], [], [])}
     assert [r["entities"] for r in entities.item_candidates(news.filter("news_id = 1"), mentions, watchlist).collect()] == [["Acme"]]
     assert read == [[2, 3]]
+
+
+def test_embeddings_count_words_where_the_text_is(spark):
+    bodies = {1: "Oil rises, oil rises &amp; gold", 2: "", 3: None, 4: "Straße STRASSE strasse " * 700, 5: "a"}
+    rows = spark.createDataFrame(list(bodies.items()), "news_id long, content string")
+
+    def model(body, dims=16):
+        total = [0] * dims
+        for word in (body or "").replace("&amp;", "&").lower().replace("ß", "ss").split():
+            digest = hashlib.sha256(word.encode()).hexdigest()
+            total[int(digest[:8], 16) % dims] += 1 if int(digest[9], 16) % 2 == 0 else -1
+        norm = math.sqrt(sum(t * t for t in total))
+        return {i: t / norm for i, t in enumerate(total) if t}
+
+    sparse = embedding.hashing_embedding(rows, "news_id", "content", 16)
+    assert "Exchange" not in sparse._jdf.queryExecution().executedPlan().toString()
+    made: dict = {}
+    for r in sparse.collect():
+        made.setdefault(r["news_id"], {})[r["idx"]] = r["value"]
+    assert made == {k: m for k, b in bodies.items() if (m := model(b))}
+    dense = {r["news_id"]: list(r["vector"]) for r in embedding.dense_embedding(rows, "news_id", "content", 16).collect()}
+    assert dense == {r["news_id"]: list(r["vector"]) for r in embedding.densify(sparse, "news_id", 16).collect()}
+    assert dense.keys() == made.keys() and all(dense[k][i] == pytest.approx(v, rel=1e-6) for k, m in made.items() for i, v in m.items())
+
+
+def test_unescaping_leaves_all_but_the_text_at_hand_in_arrow(spark):
+    assert [text._each(text.pa.array(["a", None, ""]), str.upper).to_pylist()] == [["A", None, ""]]
+    rows = spark.createDataFrame([("&amp;lt;b&amp;gt; ﬁ",), (None,), ("plain",)], "t string")
+    assert [r["x"] for r in rows.select(text.unescape_nfkc(F.col("t")).alias("x")).collect()] == ["&lt;b&gt; fi", None, "plain"]
+    assert [r["x"] for r in rows.select(text.unescape_nfkc(F.col("t"), passes=3).alias("x")).collect()] == ["<b> fi", None, "plain"]
