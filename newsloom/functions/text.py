@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import html
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,21 +43,25 @@ NFKC_SAFE = (
 )
 
 
-@F.pandas_udf(T.StringType())
-def _unescape_once(values: pd.Series) -> pd.Series:
-    return values.map(lambda v: None if v is None else unicodedata.normalize("NFKC", html.unescape(v)))
+def _each(values: pa.Array, clean: Callable[[str], str]) -> pa.Array:
+    """``clean`` of every value that is there; one text at a time is a Python string, the rest stays in Arrow."""
+    made = pa.array((None if v is None else clean(v) for v in (value.as_py() for value in values)), pa.string())
+    pa.default_memory_pool().release_unused()
+    return made
 
 
-@F.pandas_udf(T.StringType())
-def _unescape_thrice(values: pd.Series) -> pd.Series:
-    def clean(value: str | None) -> str | None:
-        for _ in range(3):
-            if value is None:
-                return None
-            value = html.unescape(value)
-        return unicodedata.normalize("NFKC", value)
+def _unescaped(value: str) -> str:
+    return unicodedata.normalize("NFKC", html.unescape(value))
 
-    return values.map(clean)
+
+@F.arrow_udf(T.StringType())
+def _unescape_once(values: pa.Array) -> pa.Array:
+    return _each(values, _unescaped)
+
+
+@F.arrow_udf(T.StringType())
+def _unescape_thrice(values: pa.Array) -> pa.Array:
+    return _each(values, lambda v: _unescaped(html.unescape(html.unescape(v))))
 
 
 def literals(values: Sequence[str]) -> Column:
