@@ -550,3 +550,9 @@ def test_unescaping_leaves_all_but_the_text_at_hand_in_arrow(spark):
     rows = spark.createDataFrame([("&amp;lt;b&amp;gt; ﬁ",), (None,), ("plain",)], "t string")
     assert [r["x"] for r in rows.select(text.unescape_nfkc(F.col("t")).alias("x")).collect()] == ["&lt;b&gt; fi", None, "plain"]
     assert [r["x"] for r in rows.select(text.unescape_nfkc(F.col("t"), passes=3).alias("x")).collect()] == ["<b> fi", None, "plain"]
+
+
+def test_patterns_that_tell_common_characters_first_match_the_same(spark):
+    points = spark.range(1, 0x110000).filter("id < 55296 OR id > 57343").select(F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32").alias("c"))
+    wrong = (F.col("c").rlike(text.UNSAFE) != F.col("c").rlike(f"[^{text.NFKC_SAFE}]")) | (F.col("c").rlike(text.BLANK) != F.col("c").rlike(f"[{text.BLANKS}]"))
+    assert points.filter(wrong).isEmpty()
