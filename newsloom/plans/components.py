@@ -57,7 +57,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
             step = moves.select(F.col("src").alias("component"), F.col("to").alias("_to"))
             labels = join_hot(labels, step, "component").select("node", F.coalesce("_to", "component").alias("component"))
             labels = cut_lineage(labels)
-        half = join_hot(links, moves, "src").select(F.col("to").alias("_a"), "dst")
+        # edges whose one end has moved are few, as most ends meet; written once, for the join reads its rows several times
+        half = cut_lineage(join_hot(links, moves, "src").select(F.col("to").alias("_a"), "dst").filter("_a <> dst").distinct())
         ends = moves.select(F.col("src").alias("dst"), F.col("to").alias("_b"))
         links = cut_lineage(
             join_hot(half, ends, "dst").filter(F.col("_a") != F.col("_b"))

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from newsloom.plans import intervals, similarity
+from newsloom.plans import components, intervals, similarity
 from newsloom.plans.components import connected_components
 from newsloom.plans.keys import flag_first, number_rows, previous_window_mean
 
@@ -173,3 +173,17 @@ def test_interval_join_equals_brute_force_with_a_hot_key(spark):
     want = sorted((i, j) for i, k, lo, hi in rows for j, kk, ts, _, _ in points if k == kk and lo <= ts <= hi)
     assert want and sorted((r["row"], r["id"]) for r in found.collect()) == want
     assert set(found.columns) == {"row", "k", "lo", "hi", "id", "ts", "v", "part"}
+
+
+def test_moved_edges_are_joined_once_per_pair_of_ends(spark, monkeypatch):
+    sizes, joined = [], components.join_hot
+
+    def watched(many, few, key):
+        if key == "dst":
+            sizes.append(many.count())
+        return joined(many, few, key)
+
+    monkeypatch.setattr(components, "join_hot", watched)
+    edges = spark.createDataFrame([(a, b) for a in range(40) for b in range(a)], "src long, dst long")
+    assert {tuple(r) for r in components.connected_components(edges).collect()} == {(n, 0) for n in range(40)}
+    assert max(sizes) < 40  # of 780 edges
