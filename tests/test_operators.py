@@ -128,6 +128,16 @@ def test_greedy_drafts_in_blocks_equal_the_sequential_model(spark, monkeypatch):
     assert got == greedy_model(rows)
 
 
+def test_drafts_of_many_rounds_have_a_real_size(spark, monkeypatch, capsys):
+    """The estimate of a placement grew fourfold in digits with every round, until planning with it took minutes."""
+    _, candidates = make_candidates(spark, 16, 1, 1)
+    monkeypatch.setattr(same_event, "BLOCK_ITEMS", 8)
+    monkeypatch.setattr(same_event, "BLOCK_LINKS", 12)
+    same_event.greedy_drafts(candidates).explain(mode="cost")
+    text = capsys.readouterr().out
+    assert "sizeInBytes=" in text and "E+" not in text
+
+
 def test_changes_inside_a_block_cost_no_rounds(spark, monkeypatch):
     rows, candidates = make_candidates(spark, 30, 1, 1)
     written, cut = [], same_event.cut_lineage

@@ -187,3 +187,13 @@ def test_moved_edges_are_joined_once_per_pair_of_ends(spark, monkeypatch):
     edges = spark.createDataFrame([(a, b) for a in range(40) for b in range(a)], "src long, dst long")
     assert {tuple(r) for r in components.connected_components(edges).collect()} == {(n, 0) for n in range(40)}
     assert max(sizes) < 40  # of 780 edges
+
+
+def test_components_of_many_rounds_have_a_real_size(spark, capsys):
+    """Each join multiplies the sizes that Spark estimates; kept from round to round they had thousands of digits."""
+    chain = spark.createDataFrame([(n * 7919 % 1000, (n + 1) * 7919 % 1000) for n in range(999)], "src long, dst long")
+    found = connected_components(chain)
+    assert {tuple(r) for r in found.collect()} == {(n, 0) for n in range(1000)}
+    found.explain(mode="cost")
+    text = capsys.readouterr().out
+    assert "sizeInBytes=" in text and "E+" not in text
