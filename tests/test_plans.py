@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from newsloom.plans import components, intervals, similarity
 from newsloom.plans.components import connected_components
-from newsloom.plans.keys import flag_first, number_rows, previous_window_mean
+from newsloom.plans.keys import flag_first, number_rows, previous_window_mean, spread
 
 
 def test_number_rows_is_a_total_order(spark):
@@ -197,3 +197,9 @@ def test_components_of_many_rounds_have_a_real_size(spark, capsys):
     found.explain(mode="cost")
     text = capsys.readouterr().out
     assert "sizeInBytes=" in text and "E+" not in text
+
+
+def test_long_work_on_few_keys_is_dealt_in_waves(spark):
+    rows = spark.range(26).withColumnRenamed("id", "block")
+    held = [spread(rows, "block", **more).groupBy(F.spark_partition_id().alias("task")).count().agg(F.max("count")).first()[0] for more in ({}, {"waves": 4})]
+    assert held[1] < held[0]
