@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from newsloom.functions import scoring, text
 from newsloom.operators import alerts, clustering, embedding, entities, same_event
 from newsloom.sources import feeds, pages, quotes, registry
+from newsloom.sources.tables import Desk
 from newsloom.streaming import jobs
 
 
@@ -147,6 +148,29 @@ def test_changes_inside_a_block_cost_no_rounds(spark, monkeypatch):
     assert sum("moved" in columns for columns in written) == 1
 
 
+def test_sets_of_both_items_meet_across_packs(spark, monkeypatch):
+    """The sets of an item travel once per pack of consecutive items, not once per pair."""
+    _, candidates = make_candidates(spark, 40, 4, hours=3)
+    monkeypatch.setattr(same_event, "PACK_ITEMS", 4)
+    sets = {r["news_id"]: r for r in candidates.collect()}
+    pairs = [(a, b) for a in sets for b in sets if a < b and (a * b) % 3]
+    rows = same_event._with_both(spark.createDataFrame(pairs, "src long, dst long"), candidates, {"a": F.col("tokens")}, {"b": F.col("codes"), "c": F.col("place")})
+    assert sorted((r["src"], r["dst"], r["a"], r["b"], r["c"]) for r in rows.collect()) == sorted(
+        (a, b, sets[a]["tokens"], sets[b]["codes"], sets[b]["place"]) for a, b in pairs)
+
+
+def test_titles_are_read_without_shuffling_texts(spark, capsys):
+    small = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        Desk(spark, "/root/testdata/sf0.001").news.select("news_id", "title", "source_score").explain(mode="formatted")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", small)
+    parts = [part.strip().splitlines() for part in capsys.readouterr().out.split("\n\n")]
+    moved = [part[1] for part in parts if part and part[0].endswith(" Exchange")]
+    assert any("title#" in line for line in moved) and not any("text#" in line for line in moved)
+
+
 def test_pairs_equal_brute_force_whatever_their_position(spark):
     rows, candidates = make_candidates(spark, 120, 4, hours=3)
     def words(r):
