@@ -9,7 +9,7 @@ never all pairs.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -26,23 +26,25 @@ BLOCK_ROWS = 2000  # no block is cut smaller for the sake of more tasks
 BLOCK_VALUES = 1 << 22  # components in a block at most: 32 MB
 STRIP_ROWS = 2048  # rows of either side that are multiplied at once
 PIVOT_ROWS, MAX_PIVOTS = 1000, 1024  # one pivot per block of at least this many rows, and never more than this many
+BATCH_PAIRS = 1 << 18  # pairs a task hands back at once
 SLACK = 1e-6  # the root in a distance turns rounding of 1e-16 into 1e-8; bounds are widened by more than that
 
 
-def _unit(rows: DataFrame, row_id: str, vector: str) -> DataFrame:
-    """Ids with unit vectors; vectors without length or with missing or infinite parts match nothing."""
+def _unit(rows: DataFrame, row_id: str, vector: str, *extra: str) -> DataFrame:
+    """Ids with unit vectors, and ``extra`` columns as they are; vectors without length or with missing or infinite parts match nothing."""
     length = V.norm(F.col(vector))
     known = rows.filter(F.col(vector).isNotNull() & (length > 0) & (length < float("inf"))).select(
-        F.col(row_id).alias("id"), F.col(vector).alias("v"))
+        F.col(row_id).alias("id"), F.col(vector).alias("v"), *extra)
 
     def scale(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 points = _matrix(batch["v"])
                 points = points / np.sqrt((points * points).sum(axis=1))[:, None]
-                yield pa.record_batch([batch["id"], _listed(points)], ["id", "v"])
+                yield pa.record_batch([batch["id"], _listed(points), *[batch[c] for c in extra]], ["id", "v", *extra])
 
-    return known.mapInArrow(scale, f"id {known.schema['id'].dataType.simpleString()}, v array<double>")
+    return known.mapInArrow(scale, ", ".join([
+        f"id {known.schema['id'].dataType.simpleString()}", "v array<double>", *[f"{c} {known.schema[c].dataType.simpleString()}" for c in extra]]))
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -70,13 +72,19 @@ def _tasks(df: DataFrame) -> int:
     return 3 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
+def _halves(batches: Iterator[pa.RecordBatch]) -> list[pa.Table] | None:
+    """The left and the right block."""
+    both = pa.Table.from_batches(list(batches))
+    halves = [both.filter(mask) for mask in (both["is_left"], pc.invert(both["is_left"]))]
+    return halves if all(half.num_rows for half in halves) else None
+
+
 def _sides(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
     """Ids and vectors of the left and of the right block."""
-    both = pa.Table.from_batches(list(batches))
-    sides = [both.filter(mask) for mask in (both["is_left"], pc.invert(both["is_left"]))]
-    if not all(side.num_rows for side in sides):
+    halves = _halves(batches)
+    if halves is None:
         return None
-    (a, x), (b, y) = [(side["id"].to_numpy(), _matrix(side["v"])) for side in sides]
+    (a, x), (b, y) = [(half["id"].to_numpy(), _matrix(half["v"])) for half in halves]
     return a, x, b, y
 
 
@@ -125,65 +133,85 @@ def _split(block: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray] | N
     return left["id"].to_numpy(), right["id"].to_numpy(), np.clip(cosines, -1.0, 1.0)
 
 
-def similar_pairs(rows: DataFrame, row_id: str, vector: str, threshold: float) -> DataFrame:
+#: Made in a task from the ``about`` columns of two blocks; of the pairs found, as positions in the blocks, it tells which to return.
+Chooser = Callable[[pa.ChunkedArray, pa.ChunkedArray], Callable[[np.ndarray, np.ndarray], np.ndarray]]
+
+
+def similar_pairs(rows: DataFrame, row_id: str, vector: str, threshold: float, folded: bool = True, about: str | None = None,
+                  choose: Chooser | None = None) -> DataFrame:
     """``(src, dst, cosine)`` with src < dst for all vectors at least ``threshold`` alike.
 
-    Exact copies are folded first: copies hang on their smallest id by a star of edges with
-    cosine 1, and only that representative is compared with other vectors. So a large group of
-    copies costs one edge per copy.
+    ``folded``: exact copies are folded first. Copies hang on their smallest id by a star of edges with cosine 1, and only
+    that representative is compared with other vectors, so a large group of copies costs one edge per copy. This keeps
+    what is connected, but not all pairs. Otherwise every pair of rows is returned, copies or not.
+
+    Who needs of the pairs only some, such as those that connect groups, and cannot hold all, names a column ``about`` that goes
+    along with the rows and a ``choose`` that picks pairs in the task that finds them.
     """
-    units = cut_lineage(_unit(rows, row_id, vector))
+    extra = [] if about is None else [about]
+    units = cut_lineage(_unit(rows, row_id, vector, *extra))
     id_type = units.schema["id"].dataType.simpleString()
-    reps = cut_lineage(units.groupBy("v").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")))
-    stars = units.join(reps.filter("n > 1").select("v", "rep"), "v").filter(F.col("id") != F.col("rep")).select(
-        F.col("rep").alias("src"), F.col("id").alias("dst"), F.lit(1.0).alias("cosine"))
-    distinct = reps.select(F.col("rep").alias("id"), "v")
-    total, fit = _size(distinct)
+    if folded:
+        reps = cut_lineage(units.groupBy("v").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")))
+        stars = units.join(reps.filter("n > 1").select("v", "rep"), "v").filter(F.col("id") != F.col("rep")).select(
+            F.col("rep").alias("src"), F.col("id").alias("dst"), F.lit(1.0).alias("cosine"))
+        compared = reps.select(F.col("rep").alias("id"), "v")
+    else:
+        stars, compared = None, units
+    total, fit = _size(compared)
     if not total:
-        return stars
+        return stars if folded else rows.sparkSession.createDataFrame([], f"src {id_type}, dst {id_type}, cosine double")
     # n blocks make n * (n + 1) / 2 tasks
-    wished = -(-total // int(np.ceil(np.sqrt(2 * _tasks(distinct)))))
+    wished = -(-total // int(np.ceil(np.sqrt(2 * _tasks(compared)))))
     block_rows = min(fit, max(BLOCK_ROWS, wished))
-    pivots = _pivots(distinct, min(MAX_PIVOTS, -(-total // max(PIVOT_ROWS, block_rows))))
+    pivots = _pivots(compared, min(MAX_PIVOTS, -(-total // max(PIVOT_ROWS, block_rows))))
 
     def home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 away = _distances(_matrix(batch["v"]), pivots)
                 cell = away.argmin(axis=1)
-                yield pa.record_batch([pa.array(cell.astype(np.int32)), batch["id"], batch["v"], pa.array(away.min(axis=1))],
-                                      ["cell", "id", "v", "away"])
+                yield pa.record_batch([pa.array(cell.astype(np.int32)), *batch.columns, pa.array(away.min(axis=1))],
+                                      ["cell", *batch.schema.names, "away"])
 
-    placed = cut_lineage(distinct.mapInArrow(home, f"cell int, id {id_type}, v array<double>, away double"))
+    kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in compared.schema)
+    placed = cut_lineage(compared.mapInArrow(home, f"cell int, {kept}, away double"))
     blocks = placed.join(_visits(placed, pivots, block_rows, float(np.sqrt(max(0.0, 2.0 - 2.0 * threshold)))), "cell").select(
-        "id", "v", (F.col("first") + _block(F.col("subs"))).alias("block"), F.explode(F.col("visits")[_block(F.col("subs"))]).alias("other"))
+        *compared.columns, (F.col("first") + _block(F.col("subs"))).alias("block"),
+        F.explode(F.col("visits")[_block(F.col("subs"))]).alias("other"))
     # a block meets itself in one task, to which its rows are sent once
     sent = blocks.select(F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"),
-                         (F.col("block") <= F.col("other")).alias("is_left"), "id", "v")
+                         (F.col("block") <= F.col("other")).alias("is_left"), *compared.columns)
 
     def match(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         alone = key[0].as_py() == key[1].as_py()
-        if alone:
-            rows = pa.Table.from_batches(list(batches))
-            ids, points = rows["id"].to_numpy(), _matrix(rows["v"])
-            parts = ids, points, ids, points
-        else:
-            parts = _sides(batches)
-        if parts is None:
+        halves = [pa.Table.from_batches(list(batches))] * 2 if alone else _halves(batches)
+        if halves is None:
             return
-        a, x, b, y = parts
-        for i, j, cosines in _strips(x, y):
+        ids = [half["id"].to_numpy() for half in halves]
+        points = [_matrix(halves[0]["v"])] * 2 if alone else [_matrix(half["v"]) for half in halves]
+        chosen = choose(halves[0][about], halves[1][about]) if choose is not None else None
+        del halves
+        for i, j, cosines in _strips(*points):
             if alone and j < i:
                 continue
             row, col = np.nonzero(cosines >= threshold)
             if alone and i == j:
                 row, col = row[row < col], col[row < col]
-            one, two = a[row + i], b[col + j]
-            yield pa.record_batch([pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two)), pa.array(cosines[row, col])],
-                                  ["src", "dst", "cosine"])
+            if not folded:  # ids may repeat
+                other = ids[0][row + i] != ids[1][col + j]
+                row, col = row[other], col[other]
+            if chosen is not None:
+                kept = chosen(row + i, col + j)
+                row, col = row[kept], col[kept]
+            for at in range(0, len(row), BATCH_PAIRS):
+                r, c = row[at:at + BATCH_PAIRS], col[at:at + BATCH_PAIRS]
+                one, two = ids[0][r + i], ids[1][c + j]
+                yield pa.record_batch([pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two)), pa.array(cosines[r, c])],
+                                      ["src", "dst", "cosine"])
 
     found = _dealt(sent, "lo", "hi").groupBy("lo", "hi").applyInArrow(match, f"src {id_type}, dst {id_type}, cosine double")
-    return found.unionByName(stars)
+    return found.unionByName(stars) if folded else found
 
 
 def _visits(placed: DataFrame, pivots: np.ndarray, block_rows: int, reach: float) -> DataFrame:

@@ -134,7 +134,7 @@ pairs AS (SELECT a.news_id AS src, b.news_id AS dst, list_cosine_similarity(a.v,
 def d6(desk: Desk) -> DataFrame:
     from newsloom.plans.similarity import similar_pairs
 
-    return similar_pairs(desk.news_vectors, "news_id", "vector", PAIR).withColumn("cosine", F.round("cosine", 6))
+    return similar_pairs(desk.news_vectors, "news_id", "vector", PAIR, folded=False).withColumn("cosine", F.round("cosine", 6))
 
 
 def judged(desk: Desk) -> DataFrame:

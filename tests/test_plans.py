@@ -1,6 +1,7 @@
 """Plan helpers against brute force, with one key holding a large share of the rows."""
 
 import random
+from collections import Counter
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -203,3 +204,17 @@ def test_long_work_on_few_keys_is_dealt_in_waves(spark):
     rows = spark.range(26).withColumnRenamed("id", "block")
     held = [spread(rows, "block", **more).groupBy(F.spark_partition_id().alias("task")).count().agg(F.max("count")).first()[0] for more in ({}, {"waves": 4})]
     assert held[1] < held[0]
+
+
+def test_similar_pairs_without_folding_are_all_pairs(spark, monkeypatch):
+    """Copies pair with each other and with all that is near them; rows of one id never pair."""
+    monkeypatch.setattr(similarity, "BLOCK_ROWS", 15)
+    monkeypatch.setattr(similarity, "PIVOT_ROWS", 10)
+    monkeypatch.setattr(similarity, "BATCH_PAIRS", 100)
+    points = _clouds(120)
+    ids = [*range(118), 117, 3]
+    rows = spark.createDataFrame([(i, [float(x) for x in p]) for i, p in zip(ids, points)], "id long, v array<double>")
+    got = Counter((r["src"], r["dst"]) for r in similarity.similar_pairs(rows, "id", "v", 0.9, folded=False).collect())
+    cosines = points @ points.T
+    want = Counter((min(ids[i], ids[j]), max(ids[i], ids[j])) for i in range(120) for j in range(i) if cosines[i, j] >= 0.9 and ids[i] != ids[j])
+    assert got == want
