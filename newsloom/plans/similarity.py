@@ -26,7 +26,7 @@ BLOCK_ROWS = 2000  # no block is cut smaller for the sake of more tasks
 BLOCK_VALUES = 1 << 22  # components in a block at most: 32 MB
 STRIP_ROWS = 2048  # rows of either side that are multiplied at once
 PIVOT_ROWS, MAX_PIVOTS = 1000, 1024  # one pivot per block of at least this many rows, and never more than this many
-BATCH_PAIRS = 1 << 18  # pairs a task hands back at once
+BATCH_PAIRS = 1 << 16  # pairs a task rates or hands back at once
 SLACK = 1e-6  # the root in a distance turns rounding of 1e-16 into 1e-8; bounds are widened by more than that
 
 
@@ -95,6 +95,29 @@ def _strips(left: np.ndarray, right: np.ndarray) -> Iterator[tuple[int, int, np.
             yield i, j, np.clip(left[i:i + STRIP_ROWS] @ right[j:j + STRIP_ROWS].T, -1.0, 1.0)
 
 
+def _close(left: np.ndarray, right: np.ndarray, threshold: float, alone: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """``(rows, columns, cosines)`` of all pairs at least ``threshold`` alike, strip by strip; of one block with itself each pair once.
+
+    Strips are multiplied in single precision; what comes within its rounding of the threshold is rated in double precision.
+    """
+    rough = [left.astype(np.float32)] + ([] if alone else [right.astype(np.float32)])
+    least = np.float32(threshold - (left.shape[1] + 8) * 2.0 ** -22)
+    for i in range(0, len(left), STRIP_ROWS):
+        for j in range(i if alone else 0, len(right), STRIP_ROWS):
+            x, y = left[i:i + STRIP_ROWS], right[j:j + STRIP_ROWS]
+            near = np.flatnonzero(rough[0][i:i + STRIP_ROWS] @ rough[-1][j:j + STRIP_ROWS].T >= least)
+            exact = (x @ y.T).ravel() if len(near) * 8 > len(x) * len(y) else None
+            for at in range(0, len(near), BATCH_PAIRS):
+                flat = near[at:at + BATCH_PAIRS]
+                row, col = np.divmod(flat, len(y))
+                if alone and i == j:
+                    upper = row < col
+                    flat, row, col = flat[upper], row[upper], col[upper]
+                cosines = np.einsum("ij,ij->i", x[row], y[col]) if exact is None else exact[flat]
+                hit = cosines >= threshold
+                yield row[hit] + i, col[hit] + j, np.clip(cosines[hit], -1.0, 1.0)
+
+
 def _pivots(units: DataFrame, count: int) -> np.ndarray:
     """A few vectors picked by id hash."""
     picked = units.orderBy(F.xxhash64("id"), "id").limit(count).collect()
@@ -192,23 +215,16 @@ def similar_pairs(rows: DataFrame, row_id: str, vector: str, threshold: float, f
         points = [_matrix(halves[0]["v"])] * 2 if alone else [_matrix(half["v"]) for half in halves]
         chosen = choose(halves[0][about], halves[1][about]) if choose is not None else None
         del halves
-        for i, j, cosines in _strips(*points):
-            if alone and j < i:
-                continue
-            row, col = np.nonzero(cosines >= threshold)
-            if alone and i == j:
-                row, col = row[row < col], col[row < col]
+        for row, col, cosines in _close(*points, threshold, alone):
             if not folded:  # ids may repeat
-                other = ids[0][row + i] != ids[1][col + j]
-                row, col = row[other], col[other]
+                other = ids[0][row] != ids[1][col]
+                row, col, cosines = row[other], col[other], cosines[other]
             if chosen is not None:
-                kept = chosen(row + i, col + j)
-                row, col = row[kept], col[kept]
-            for at in range(0, len(row), BATCH_PAIRS):
-                r, c = row[at:at + BATCH_PAIRS], col[at:at + BATCH_PAIRS]
-                one, two = ids[0][r + i], ids[1][c + j]
-                yield pa.record_batch([pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two)), pa.array(cosines[r, c])],
-                                      ["src", "dst", "cosine"])
+                kept = chosen(row, col)
+                row, col, cosines = row[kept], col[kept], cosines[kept]
+            one, two = ids[0][row], ids[1][col]
+            yield pa.record_batch([pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two)), pa.array(cosines)],
+                                  ["src", "dst", "cosine"])
 
     found = _dealt(sent, "lo", "hi").groupBy("lo", "hi").applyInArrow(match, f"src {id_type}, dst {id_type}, cosine double")
     return found.unionByName(stars) if folded else found

@@ -150,10 +150,12 @@ base AS (SELECT p.component, arg_max(c.cluster_id, (c.source_count, c.top_source
   FROM parts p JOIN clusters c ON c.cluster_id = p.node GROUP BY 1)
 SELECT p.node AS draft_id, b.merged_id FROM parts p JOIN base b USING (component)""")
 def e7(desk: Desk) -> DataFrame:
-    edges = similar_pairs(desk.news_vectors, "news_id", "vector", PAIR)
     members = desk.cluster_items.select("news_id", F.col("cluster_id").alias("draft_id"))
     drafts = desk.clusters.select(F.col("cluster_id").alias("draft_id"), F.col("affected_entities").alias("primary_entities"),
                                   "asset_classes", "regions", "source_count", "top_source_score")
+    vectors = clustering.with_drafts(desk.news_vectors, members, drafts)
+    # all pairs are compared, copies too; written once, as the merge reads them twice
+    edges = cut_lineage(similar_pairs(vectors, "news_id", "vector", PAIR, folded=False, about="draft", choose=clustering.MergingPairs))
     return clustering.merge_drafts(members, drafts, edges)
 
 

@@ -7,11 +7,13 @@ import unicodedata
 from datetime import datetime, timedelta
 from difflib import SequenceMatcher
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from newsloom.functions import scoring, text
 from newsloom.operators import alerts, clustering, embedding, entities, same_event
+from newsloom.plans import similarity
 from newsloom.sources import feeds, pages, quotes, registry
 from newsloom.sources.tables import Desk
 from newsloom.streaming import jobs
@@ -590,3 +592,40 @@ def test_patterns_that_tell_common_characters_first_match_the_same(spark):
     points = spark.range(1, 0x110000).filter("id < 55296 OR id > 57343").select(F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32").alias("c"))
     wrong = (F.col("c").rlike(text.UNSAFE) != F.col("c").rlike(f"[^{text.NFKC_SAFE}]")) | (F.col("c").rlike(text.BLANK) != F.col("c").rlike(f"[{text.BLANKS}]"))
     assert points.filter(wrong).isEmpty()
+
+
+def _drafts(spark, rows):
+    return spark.createDataFrame(rows, "draft_id long, primary_entities array<string>, asset_classes array<string>, regions array<string>, source_count int, top_source_score int")
+
+
+def _merged(spark, vectors, members, drafts, threshold):
+    rows = clustering.with_drafts(vectors, members, drafts)
+    edges = similarity.similar_pairs(rows, "news_id", "vector", threshold, folded=False, about="draft", choose=clustering.MergingPairs).localCheckpoint()
+    return edges, {r["draft_id"]: r["merged_id"] for r in clustering.merge_drafts(members, drafts, edges).collect()}
+
+
+def test_copies_merge_their_drafts_though_the_smallest_fits_with_none(spark):
+    """Three equal vectors; the first one's draft shares no entity with the others, which merge."""
+    vectors = spark.createDataFrame([(i, [1.0, 2.0]) for i in (1, 2, 3)], "news_id long, vector array<float>")
+    members = spark.createDataFrame([(1, 10), (2, 20), (3, 30)], "news_id long, draft_id long")
+    drafts = _drafts(spark, [(10, ["A"], ["equity"], ["us"], 1, 50), (20, ["B"], ["equity"], ["us"], 1, 50), (30, ["b"], ["equity"], ["us"], 2, 50)])
+    assert _merged(spark, vectors, members, drafts, 0.9)[1] == {10: 10, 20: 30, 30: 30}
+
+
+def test_chosen_pairs_merge_what_all_pairs_merge(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "BLOCK_ROWS", 20)
+    monkeypatch.setattr(similarity, "PIVOT_ROWS", 20)
+    monkeypatch.setattr(similarity, "STRIP_ROWS", 8)
+    rng = np.random.default_rng(11)
+    points = rng.normal(size=(160, 6))
+    points[:40] = points[0]
+    vectors = spark.createDataFrame([(i, [float(x) for x in p]) for i, p in enumerate(points)], "news_id long, vector array<double>")
+    members = spark.createDataFrame([(i, i // 2) for i in range(160)] + [(7, 70), (150, 3)], "news_id long, draft_id long")
+    names = [None, "Reuters", *"ABCDEFGHIJKLMNOP"]
+    drafts = _drafts(spark, [
+        (d, None if d == 5 else [str(names[k]) for k in rng.integers(0, len(names), 2)], [str(rng.choice(["equity", "crypto", "global_macro"]))] if d % 7 else [],
+         None if d % 11 == 0 else [str(rng.choice(["us", "global", "vietnam"]))], int(rng.integers(1, 5)), int(rng.integers(30, 90))) for d in range(80)])
+    edges, got = _merged(spark, vectors, members, drafts, 0.8)
+    every = similarity.similar_pairs(vectors, "news_id", "vector", 0.8, folded=False).localCheckpoint()
+    assert got == {r["draft_id"]: r["merged_id"] for r in clustering.merge_drafts(members, drafts, every).collect()}
+    assert 1 < len(set(got.values())) < 80 and edges.count() < every.count() / 3
