@@ -132,13 +132,23 @@ def moves_with_events(moves: DataFrame, events: DataFrame, lateness: str, event_
 
     ``moves``: ``symbol, ts``; ``events``: ``symbol, created_at, cluster_id``. A move without an
     event comes out with a null ``cluster_id`` once the watermark has passed its window.
+
+    Both sides meet on symbol and stretch of time, as long as the window. A move is in one stretch, so it is matched or not in one
+    place; an event is in each whose moves it can meet, two at most. No row meets all rows of a symbol.
     """
-    left = moves.withWatermark("ts", lateness)
-    right = events.withColumnRenamed("symbol", "event_symbol").withWatermark("created_at", lateness)
+    before, after = _hours(event_before), _hours(event_after)
+    width = max(before + after, 1) * 3_600_000_000
+
+    def stretch(at: str, hours: int) -> Column:
+        return F.floor((F.unix_micros(at) + F.lit(hours * 3_600_000_000)) / F.lit(width))
+
+    left = moves.withWatermark("ts", lateness).withColumn("_stretch", stretch("ts", 0))
+    right = events.withColumnRenamed("symbol", "event_symbol").withWatermark("created_at", lateness).withColumn(
+        "_event_stretch", F.explode(F.sequence(stretch("created_at", -after), stretch("created_at", before))))
     near = F.expr(
-        f"symbol = event_symbol AND created_at >= ts - INTERVAL {_hours(event_before)} HOURS "
-        f"AND created_at <= ts + INTERVAL {_hours(event_after)} HOURS")
-    return left.join(right, near, "left_outer").drop("event_symbol")
+        f"symbol = event_symbol AND _stretch = _event_stretch AND created_at >= ts - INTERVAL {before} HOURS "
+        f"AND created_at <= ts + INTERVAL {after} HOURS")
+    return left.join(right, near, "left_outer").drop("event_symbol", "_stretch", "_event_stretch")
 
 
 def _hours(span: timedelta) -> int:

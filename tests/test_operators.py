@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import re
 import unicodedata
 from datetime import datetime, timedelta
 from difflib import SequenceMatcher
@@ -16,7 +17,7 @@ from newsloom.operators import alerts, clustering, embedding, entities, same_eve
 from newsloom.plans import similarity
 from newsloom.sources import feeds, pages, quotes, registry
 from newsloom.sources.tables import Desk
-from newsloom.streaming import jobs
+from newsloom.streaming import files, jobs
 
 
 def one(spark, column):
@@ -629,3 +630,25 @@ def test_chosen_pairs_merge_what_all_pairs_merge(spark, monkeypatch):
     every = similarity.similar_pairs(vectors, "news_id", "vector", 0.8, folded=False).localCheckpoint()
     assert got == {r["draft_id"]: r["merged_id"] for r in clustering.merge_drafts(members, drafts, every).collect()}
     assert 1 < len(set(got.values())) < 80 and edges.count() < every.count() / 3
+
+
+def test_moves_meet_events_by_symbol_and_stretch_of_time(spark, tmp_path):
+    """Edges of the window and null symbols; and no row meets all rows of its symbol."""
+    start, hour = datetime(2024, 1, 1), timedelta(hours=1)
+    moves = [(i, f"S{i % 2}", start + i * hour / 2) for i in range(80)] + [(80, None, start), (81, "S0", start + 200 * hour)]
+    events = [(100 + i, f"S{i % 2}", start + i * 7 * hour) for i in range(8)] + [(200, None, start), (201, "S1", start + 10 * hour), (202, "S9", start + 200 * hour)]
+    spark.createDataFrame(moves, "move_id long, symbol string, ts timestamp").write.parquet(str(tmp_path / "moves.parquet"))
+    spark.createDataFrame(events, "cluster_id long, symbol string, created_at timestamp").write.parquet(str(tmp_path / "events.parquet"))
+
+    def joined(before, after):
+        left, right = (files.stream_parquet(spark, str(tmp_path), n) for n in ("moves", "events"))
+        return jobs.moves_with_events(left, right, "1 hour", timedelta(hours=before), timedelta(hours=after))
+
+    for before, after in ((2, 2), (4, 24), (0, 0)):
+        rows = files.run_to_table(joined(before, after), str(tmp_path / f"out{before}{after}")).collect()
+        want = {(m, c) for m, s, at in moves for c, t, made in events if s is not None and s == t and at - before * hour <= made <= at + after * hour}
+        assert sorted((r["move_id"], r["cluster_id"]) for r in rows if r["cluster_id"] is not None) == sorted(want)
+        closed = start + 199 * hour
+        assert {r["move_id"] for r in rows if r["cluster_id"] is None} == {m for m, _, at in moves if at + after * hour < closed} - {m for m, _ in want}
+    keys = joined(4, 24)._jdf.queryExecution().analyzed().toString()
+    assert re.search(r"Join LeftOuter.*_stretch#\d+L? = _event_stretch#\d+", keys)
