@@ -652,3 +652,32 @@ def test_moves_meet_events_by_symbol_and_stretch_of_time(spark, tmp_path):
         assert {r["move_id"] for r in rows if r["cluster_id"] is None} == {m for m, _, at in moves if at + after * hour < closed} - {m for m, _ in want}
     keys = joined(4, 24)._jdf.queryExecution().analyzed().toString()
     assert re.search(r"Join LeftOuter.*_stretch#\d+L? = _event_stretch#\d+", keys)
+
+
+def test_local_evidence_meets_no_more_than_blocks_and_slices(spark, monkeypatch):
+    """Many blocks, slices and held sums give what one of each does; terms inside words, with blanks and of odd blanks count."""
+    rng = random.Random(8)
+    words = ["oil", "turmoil", "north", "sea", "n1", "n12", "acme", "ab", "x", "über", "far east"]
+    news = spark.createDataFrame([(i, i // 3, rng.choice([None, 40, 95]), " ".join(rng.choices(words, k=5)), rng.choice([None, "a b  c", "oil rig"]))
+                                  for i in range(90)], "news_id long, created_at int, source_score int, title string, snippet string")
+    targets = spark.createDataFrame(
+        [(t, rng.choices(["n1", "x", " ", " ", None], k=2), rng.choices(["far east", "north sea", "Über", "b  c"], k=2), rng.choices(words, k=7)) for t in range(25)],
+        "target_id long, symbols array<string>, entities array<string>, context array<string>")
+
+    def found(limit):
+        return sorted(tuple(r) for r in alerts.local_evidence(targets, news, F.lit(0), limit=limit).collect())
+
+    rows = {r["news_id"]: (r, f"{r['title']} {r['snippet'] or ''}".lower()) for r in news.collect()}
+    want = []
+    for t in targets.collect():
+        for r, body in rows.values():
+            hits = [sum(v is not None and v.strip(" ") != "" and v.lower() in body for v in t[k]) for k in ("symbols", "entities", "context")]
+            score = min(10, (r["source_score"] or 0) // 10) + 20 * hits[0] + 25 * hits[1] + min(30, 5 * hits[2])
+            if any(hits) and score >= 30:
+                want.append((t["target_id"], r["news_id"], score))
+    assert found(None) == sorted(want)
+    monkeypatch.setattr(alerts, "FIRST_STRETCH", 10)
+    one = found(4)
+    for name, value in (("BLOCK_TERMS", 40), ("SLICE_ROWS", 7), ("HELD_SUMS", 60), ("KNOWN_WORDS", 3)):
+        monkeypatch.setattr(alerts, name, value)
+    assert found(4) == one and one
