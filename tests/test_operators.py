@@ -681,3 +681,30 @@ def test_local_evidence_meets_no_more_than_blocks_and_slices(spark, monkeypatch)
     for name, value in (("BLOCK_TERMS", 40), ("SLICE_ROWS", 7), ("HELD_SUMS", 60), ("KNOWN_WORDS", 3)):
         monkeypatch.setattr(alerts, name, value)
     assert found(4) == one and one
+
+
+def test_placement_leaves_only_its_last_state(spark, monkeypatch):
+    """States of earlier rounds, links and blocks are removed; what was given stays."""
+    import os
+
+    from newsloom.plans.lineage import checkpoint_folder, cut_sized
+
+    rows, candidates = make_candidates(spark, 16, 1, 1)
+    monkeypatch.setattr(same_event, "BLOCK_ITEMS", 8)
+    monkeypatch.setattr(same_event, "BLOCK_LINKS", 12)
+    given = cut_sized(candidates)
+    folder = checkpoint_folder(spark).removeprefix("file:")
+    before = {f for f in os.listdir(folder) if f.startswith("copy-")}
+    placed = same_event.greedy_drafts(given)
+    after = {f for f in os.listdir(folder) if f.startswith("copy-")}
+    assert before <= after and len(after - before) == 1
+    assert {r["news_id"]: r["draft_id"] for r in placed.collect()} == greedy_model(rows)
+
+
+def test_repeated_ids_of_evidence_share_their_texts(spark):
+    news = spark.createDataFrame([(1, 5, 90, "acme oil", None), (1, 5, 90, "acme oil", None), (2, 4, 90, "acme rig", None)],
+                                 "news_id long, created_at int, source_score int, title string, snippet string")
+    targets = spark.createDataFrame([(7, [], [], ["acme", "oil", "rig", "absent"]), (8, ["acme"], [], [])],
+                                    "target_id long, symbols array<string>, entities array<string>, context array<string>")
+    found = sorted(tuple(r) for r in alerts.local_evidence(targets, news, F.lit(0), limit=5).collect())
+    assert found == [(8, 1, 49), (8, 1, 49), (8, 2, 29)]
